@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import best_fit_packing, chat_format, pfair_mix, simhash_dedup, url_filter
-from riffle.llm.common import table
+from riffle.llm import best_fit_packing, chat_format, learned_partitions, pfair_mix, quality_cnn, quality_rules, simhash_dedup, token_rollup, toxicity, url_filter
+from riffle.llm.common import materialize, shared_folder, table
 
 #: Target weights by source, in blocks a cycle; sources without one share the rest's.
 WEIGHTS = {"src0": 24} | {f"src{i}": 4 for i in range(1, 20)}
@@ -36,6 +37,26 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality_cnn.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every query vector."""
+    return learned_partitions.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, and whether limits and learned rules keep it."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
@@ -51,6 +72,26 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, maintained over four batches of changes.
+
+    Documents come in with an estimate from their n_chars, are revised to their counted tokens, and leave if they have none;
+    the first batch arrives twice.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", "text")
+    counts, _ = materialize(token_rollup.counted(docs, {token_rollup.WORDS: None, "word_bpe_49k": tokenizer_path()}), "token-counts")
+    image = lambda n: F.struct("source", "lang", "tokenizer", n.alias("tokens"))
+    estimate, actual, nothing = image(F.floor(F.coalesce("n_chars", F.lit(0)) / 4)), image(F.col("tokens")), F.lit(None)
+    store = token_rollup.RollupStore(spark, f"{shared_folder(spark)}/riffle/rollup-{uuid.uuid4().hex}")
+    arrivals = counts.select(nothing.cast(counts.select(estimate).schema[0].dataType).alias("old"), estimate.alias("new"))
+    store.commit("arrivals", token_rollup.signed(arrivals))
+    store.commit("counts", token_rollup.signed(counts.select(estimate.alias("old"), actual.alias("new"))))
+    store.commit("arrivals", token_rollup.signed(arrivals))
+    empty = counts.where("tokens = 0")
+    store.commit("empty", token_rollup.signed(empty.select(actual.alias("old"), nothing.cast(empty.select(actual).schema[0].dataType).alias("new"))))
+    return store.totals()
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -60,8 +101,13 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_cnn": op4_quality_cnn,
+    "op5_learned_partitions": op5_learned_partitions,
+    "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_format": op8_chat_format,
+    "op9_token_rollup": op9_token_rollup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
