@@ -76,7 +76,7 @@ def normalized_package(name: Column, ecosystem: Column) -> Column:
 
 def version_key(version: Column) -> Column:
     """An array that orders versions: numeric segments by value, above non-numeric ones, which go by text."""
-    parts = F.split(version, r"[.\-+]", -1)
+    parts = F.split(version, r"[.\-]", -1)
     number = lambda p: F.when(p.rlike("^[0-9]{1,18}$"), p.cast("long"))
     return F.transform(parts, lambda p: F.struct(number(p).isNotNull().alias("numeric"), F.coalesce(number(p), F.lit(0).cast("long")).alias("n"), F.when(number(p).isNull(), p).otherwise("").alias("text")))
 
