@@ -344,7 +344,8 @@ def test_scores_do_not_depend_on_the_batch():
 
 
 def test_long_texts_are_scored_whole():
-    model = toxicity.train([(b"you moron", 1), (b"the moron is", 1), (b"a fine day", 0), (b"the rest of", 0)] * 5, epochs=100)
+    said = [b"a fine day you", b"the rest of the day", b"a day of rest", b"you the fine"]
+    model = toxicity.train([(t + b" moron " * y + t, y) for t in said for y in (0, 1)] * 5)
     long = b"a fine day " * 200_000
     low, high = toxicity.score([long, long + b"moron " + long], *model.table())
     assert low < 0.5 < high
