@@ -10,28 +10,27 @@ from riffle.functions import text as X
 from riffle.operators.metrics import rate
 from riffle.operators.windows import islands
 
-# Folders whose fixes are no ground truth, and lines that only support a fix.
-EXCLUDED = r"(^|/)(tests?|docs?|examples?|migrations)/|(^|/)(test_[^/]*|[^/]*_test|conftest|setup)\.py$"
-SUPPORTING = r"^\s*(#.*|import\s.*|from\s.*\simport\s.*|__version__\s*=.*|version\s*=.*)?$"
+# Paths whose fixes are no ground truth, and lines that only support a fix.
+EXCLUDED = r"(?i)(^|/)(tests?|testing|docs?|examples?|benchmarks?)/|(^|/)(test_[^/]+|[^/]+_test|conftest|setup|noxfile|changelog|changes)\.py$"
+SUPPORTING = r"(?i)^\s*((import|from)\s+\S.*|_*version(_info)?_*\s*[:=].*|#.*)?$"
 
 
-def ground_truth(files: DataFrame, lines: DataFrame) -> DataFrame:
+def ground_truth(files: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFrame:
     """case_id, file, spans: where a fix took lines out of Python sources, in the old file.
 
-    Runs of removed lines count unless all of a run only supports the fix; a file with additions alone gives the places where
-    they went in. Added and binary files are skipped; a renamed file goes by its old path.
+    Runs of removed lines count unless all of a run only supports the fix. A file with additions alone gives the old ranges of
+    its hunks, but for hunks that only add supporting lines. Added and binary files are skipped; a renamed one goes by its old path.
     """
-    use = files.where(F.col("path").endswith(".py") & ~F.col("path").rlike(EXCLUDED) & ~F.col("binary") & (F.col("change") != "added"))
-    use = use.select(F.col("run_id").alias("case_id"), "path", F.coalesce("previous_path", "path").alias("file"))
-    body = lines.withColumnRenamed("run_id", "case_id").join(use, ["case_id", "path"])
+    use = files.where(~F.col("binary") & (F.col("change") != "added")).select(F.col("run_id").alias("case_id"), "file_no", F.coalesce("previous_path", "path").alias("file"))
+    use = use.where(F.endswith("file", F.lit(".py")) & ~F.col("file").rlike(EXCLUDED))
+    body = lines.withColumnRenamed("run_id", "case_id").join(use, ["case_id", "file_no"])
     removed = body.where("tag = '-'")
     runs = islands(removed, ["case_id", "file"], "old_ln")
-    real = removed.select("case_id", "file", "old_ln").where(~F.col("text").rlike(SUPPORTING)).withColumnRenamed("old_ln", "__at")
-    kept = runs.join(real.withColumnsRenamed({"case_id": "__c", "file": "__f"}), (F.col("case_id") == F.col("__c")) & (F.col("file") == F.col("__f")) & F.col("__at").between(F.col("start"), F.col("end")), "left_semi")
-    only_added = body.groupBy("case_id", "file").agg(F.max(F.col("tag") == "-").alias("cut"), F.max(F.col("tag") == "+").alias("put")).where("put and not cut").select("case_id", "file")
-    order = Window.partitionBy("case_id", "file", "hunk_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = body.withColumn("before", F.coalesce(F.last("old_ln", ignorenulls=True).over(order), F.lit(0))).where("tag = '+'").join(only_added, ["case_id", "file"], "left_semi")
-    inserted = placed.select("case_id", "file", F.greatest(F.lit(1), F.col("before")).cast("int").alias("start"), (F.col("before") + 1).cast("int").alias("end")).distinct()
+    real = removed.where(~F.col("text").rlike(SUPPORTING)).select(F.col("case_id").alias("__c"), F.col("file").alias("__f"), F.col("old_ln").alias("__at"))
+    kept = runs.join(real, (F.col("case_id") == F.col("__c")) & (F.col("file") == F.col("__f")) & F.col("__at").between(F.col("start"), F.col("end")), "left_semi")
+    adds = body.where(F.col("tag") == "+").groupBy("case_id", "file_no", "hunk_no").agg(F.max(~F.col("text").rlike(SUPPORTING)).alias("real")).where("real")
+    places = hunks.withColumnRenamed("run_id", "case_id").where("old_len > 0").join(use, ["case_id", "file_no"]).join(removed.select("case_id", "file").distinct(), ["case_id", "file"], "left_anti")
+    inserted = places.join(adds, ["case_id", "file_no", "hunk_no"], "left_semi").select("case_id", "file", F.col("old_start").alias("start"), (F.col("old_start") + F.col("old_len") - 1).alias("end"))
     spans = kept.select("case_id", "file", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).unionByName(inserted)
     return spans.groupBy("case_id", "file").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 

@@ -10,7 +10,7 @@ from riffle.functions import text as X
 from riffle.operators.maps import map_diff
 from riffle.sources.diff import side
 
-# Requirement lines, keys that are no packages, shapes of version values.
+# Requirement lines, keys that are no packages, shapes of version values; so are the patterns of the formats below.
 REQUIREMENT = r"""^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:([=<>!~^]{1,2}=?)\s*([^\s;,#\]"']+))?"""
 NOT_REQUIREMENTS = r"^(-|#|git\+|http://|https://|\./|/|file:)"
 NO_PACKAGES = ("name", "version", "description", "readme", "license", "authors", "requires-python", "python", "homepage", "repository", "documentation", "build-backend", "package-mode", "content-hash", "lock-version")

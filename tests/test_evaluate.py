@@ -30,7 +30,7 @@ diff --git a/tests/test_a.py b/tests/test_a.py
 
 def test_ground_truth(spark):
     d = diff.read_diffs(spark.createDataFrame([("c", FIX)], "run_id string, text string"))
-    got = {r.file: [tuple(s) for s in r.spans] for r in ev.ground_truth(d.files, d.lines).collect()}
+    got = {r.file: [tuple(s) for s in r.spans] for r in ev.ground_truth(d.files, d.hunks, d.lines).collect()}
     assert got == {"app/a.py": [(3, 4)], "app/b.py": [(10, 11)]}
 
 
