@@ -399,12 +399,12 @@ def reachability(s: SparkSession, d: str) -> DataFrame:
     return graph.reachable(edges, s.range(1, 2).select(F.col("id").alias("node")))
 
 
-@query("select o_custkey, count(*) n, sum(case when o_custkey % 10 = 0 then o_totalprice * 2 else o_totalprice end) total from orders group by 1")
+@query("select o_custkey, count(*) n, round(sum(case when o_custkey % 10 = 0 then o_totalprice * 2 else o_totalprice end), 2) total from orders group by 1")
 def splice_equivalence(s: SparkSession, d: str) -> DataFrame:
     o = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     changed = o.where("o_custkey % 10 = 0")
     fresh = changed.withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    return maps.splice(o, fresh, changed, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return maps.splice(o, fresh, changed, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("""with x as (select o_orderpriority, count(*) f, count(*) filter (where o_orderstatus = 'P') fc, count(*) filter (where o_totalprice > 1000) e, count(*) filter (where o_totalprice > 230000) ec from orders group by 1)
@@ -452,12 +452,12 @@ def unique_or_null(s: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(joins.unique_or_null("role").alias("only_role"), joins.unique_or_null("n").alias("only_length"))
 
 
-@query("""select l_returnflag, l_linestatus, sum(l_quantity) sum_qty, sum(l_extendedprice) sum_base, sum(l_extendedprice * (1 - l_discount)) sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) sum_charge, avg(l_quantity) avg_qty, count(*) n
+@query("""select l_returnflag, l_linestatus, sum(l_quantity) sum_qty, round(sum(l_extendedprice), 2) sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) sum_charge, round(avg(l_quantity), 6) avg_qty, count(*) n
     from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""")
 def pricing_summary(s: SparkSession, d: str) -> DataFrame:
     li = t(s, d, "lineitem").where(F.col("l_shipdate") <= F.to_timestamp_ntz(F.lit("1998-09-02 00:00:00")))
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.sum(disc).alias("sum_disc"), F.sum(disc * (1 + F.col("l_tax"))).alias("sum_charge"), F.avg("l_quantity").alias("avg_qty"), F.count("*").alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.sum(disc * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
 
 
 @query("""select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey and s_nationkey = c_nationkey
