@@ -210,9 +210,11 @@ def near_duplicates(docs: DataFrame, keys: list[str] | None = None, text: str =
     fps = marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(keys[0]).alias("least"))
     links, _ = materialize(ball_links(fps.select("fp"), fps.count(), radius), "ball-links")
     roots = components(links)
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("__component"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "__component")
+    # only fingerprints with links need their group's minimum; its table stands by itself, so that a join with a large group can be split
+    members = roots.union(roots.select("root", "root").distinct()).join(fps, F.col("node") == F.col("fp")).select("fp", "root", "least")
+    least, _ = materialize(members.groupBy("root").agg(F.min("least").alias("best")), "components")
+    grouped = members.select("fp", "root").join(least, "root").select(F.col("fp").alias("__f"), "best")
+    named = fps.join(grouped, F.col("fp") == F.col("__f"), "left").select("fp", F.coalesce("best", "least").alias("__component"))
     return marked.join(named, F.col("__fp") == F.col("fp"), "left").drop("fp")
 
 
