@@ -93,11 +93,11 @@ def mix(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int =
     return found.withColumn("__at", at).select(*docs.columns, F.element_at(names, F.col("__s") + 1).alias("__stream"), "__block", slot.alias("__slot"), "__place")
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, per_partition: int = 20_000, **options: object) -> DataFrame:
+def in_order(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, per_partition: int = 6_000, **options: object) -> DataFrame:
     """All rows of docs in the mixture's order: partitions are consecutive ranges of slots, sorted within."""
     mixed = mix(docs, weights, rest, block, **options)
     total = docs.count()
-    partitions = max(1, min(10_000, -(-total // per_partition)))
+    partitions = max(1, min(200_000, -(-total // per_partition)))
     blocks = max(1, -(-total // block) + len(weights) + 1)  # at most one block of each stream is not full
     at = F.least(F.lit(partitions - 1), F.floor(F.col("__slot") * partitions / blocks)).cast("int")
     return mixed.repartitionById(partitions, at).sortWithinPartitions("__slot", "__place").select(*docs.columns)
