@@ -389,13 +389,15 @@ _EDGES = "select distinct n_nationkey::bigint src, (n_nationkey * 7 + k) % 25 ds
 def bounded_bfs(s: SparkSession, d: str) -> DataFrame:
     n = t(s, d, "nation").select(long("n_nationkey").alias("n"))
     edges = n.select(F.col("n").alias("src"), F.explode(F.array((F.col("n") * 7 + 1) % 25, (F.col("n") * 7 + 3) % 25)).alias("dst"))
-    return graph.bounded_bfs(edges, n.where("n < 5").select(F.col("n").alias("node")), 4)
+    return graph.bounded_bfs(edges, n.select(F.col("n").alias("node")), 4)
 
 
 @query("""with recursive e as (select distinct o_custkey % 997 src, (o_custkey * 31 + o_orderkey) % 997 dst from orders where o_orderkey % 3 = 0), r as (select 1::bigint node union select dst from r join e on e.src = r.node) select node from r""")
 def reachability(s: SparkSession, d: str) -> DataFrame:
-    o = t(s, d, "orders").where("o_orderkey % 3 = 0")
-    edges = o.select((F.col("o_custkey") % 997).alias("src"), ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % 997).alias("dst"))
+    # an edge for every order between customers, whose keys run from 0
+    customers = t(s, d, "customer").agg(F.count("*").alias("n"))
+    o = t(s, d, "orders").join(F.broadcast(customers), F.lit(True))  # one row
+    edges = o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % F.col("n")).alias("dst"))
     return graph.reachable(edges, s.range(1, 2).select(F.col("id").alias("node")))
 
 

@@ -1,0 +1,34 @@
+"""Queries over whole tables, against plain Python."""
+
+import pyarrow.parquet as pq
+from riffle.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def distances(edges, start, most=10**9):
+    out, frontier, d = {start: 0}, {start}, 0
+    while frontier and d < most:
+        d += 1
+        frontier = {b for a in frontier for b in edges.get(a, ())} - out.keys()
+        out |= dict.fromkeys(frontier, d)
+    return out
+
+
+def test_reachability_takes_every_order(spark):
+    customers, edges = len(rows("customer")), {}
+    for r in rows("orders"):
+        edges.setdefault(r["o_custkey"], set()).add((r["o_custkey"] * 31 + r["o_orderkey"]) % customers)
+    got = [r.node for r in catalog.reachability(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(distances(edges, 1))
+
+
+def test_bounded_bfs_starts_from_every_nation(spark):
+    nations = [r["n_nationkey"] for r in rows("nation")]
+    edges = {n: {(n * 7 + 1) % 25, (n * 7 + 3) % 25} for n in nations}
+    got = sorted((r.start, r.node, r.distance) for r in catalog.bounded_bfs(spark, SF).collect())
+    assert got == sorted((n, k, d) for n in nations for k, d in distances(edges, n, 4).items())
