@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequence and place of every piece."""
-    return best_fit_packing.pack_documents(docs, registry.tokenizer_path(), registry.SEQUENCE_TOKENS)
+    """Sequence and place of every piece; the order of the stage before decides which sequences come first."""
+    return best_fit_packing.pack_documents(docs, registry.tokenizer_path(), registry.SEQUENCE_TOKENS, place=best_fit_packing.file_place())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

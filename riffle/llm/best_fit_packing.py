@@ -15,7 +15,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riffle.llm.common import materialize, slabs, small_batches, texts_of
@@ -23,6 +23,10 @@ from riffle.llm.token_ids import cache_for
 
 #: Pieces that one (length, bucket) should hold if all had the same length.
 PIECES_PER_BUCKET = 1_000_000
+#: Pieces of documents that stand together in a file are ranked together, so many rows of it at a time.
+ROWS_TOGETHER = 1 << 10
+#: Bits of a row's number within its file; the file's number is above them.
+ROW_BITS = 40
 #: Bytes of text encoded at a time.
 SLAB = 1 << 20
 
@@ -91,11 +95,21 @@ def pack_histogram(counts: Mapping[int, int], capacity: int) -> tuple[np.ndarray
     return np.array(sorted(placed), dtype=np.int64).reshape(-1, 6), sequences
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece; null texts count as empty (the end id alone)."""
+def file_place() -> Column:
+    """Place of a row in a table that Spark has written as Parquet: by the number of its file, then by its row there."""
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return F.shiftleft(number, ROW_BITS) + F.col("_metadata.row_index")
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", place: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every piece; null texts count as empty (the end id alone).
+
+    With place (a long), __place too, after doc_id.
+    """
     small_batches(docs.sparkSession)
-    src = docs.select("doc_id", F.col(text).alias("__text"))
-    schema = src.select("doc_id", F.lit(0).alias("piece"), *(F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32"))).schema
+    src = docs.select(F.col("doc_id"), *([] if place is None else [place.alias("__place")]), F.col(text).alias("__text"))
+    keep = src.columns[:-1]
+    schema = src.select(*keep, F.lit(0).alias("piece"), *(F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = cache_for(tokenizer), end_id.to_bytes(4, "little")
@@ -109,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                         rows.append((row, k, at // 4, len(part) // 4, zlib.crc32(part)))
             row, *rest = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row, pa.int64())) for i in range(len(keep))), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -118,12 +132,16 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...), which must be cheap to read twice.
 
     Equal rows get different places. Memory on the driver: the histogram and its runs, which depend on `capacity` alone.
+    With a column __place, pieces of one length are taken in its order.
     """
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     runs, _ = pack_histogram(counts, capacity)
     buckets = max(64, -(-sum(counts.values()) // PIECES_PER_BUCKET))
     order = [c for c in parts.columns if c != "length"]
-    keyed = parts.withColumn("__b", F.pmod(F.xxhash64(*parts.columns), F.lit(buckets)))
+    bucket = F.pmod(F.xxhash64(*parts.columns), F.lit(buckets))
+    if "__place" in parts.columns:
+        order, bucket = ["__place", "piece"], F.floor(F.col("__place") / ROWS_TOGETHER)
+    keyed = parts.withColumn("__b", bucket)
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("length", "__b").count().select("length", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("length", "__b").orderBy(*order)))
@@ -144,10 +162,29 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.mapInArrow(place, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
+def by_first_place(packed: DataFrame) -> DataFrame:
+    """packed (with __place), its sequences numbered anew by the earliest piece that each holds.
+
+    A sequence's number is its rank among those that begin in its file, plus the sequences of the files before.
+    """
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("__place", "piece")).alias("__first")).withColumn("__file", F.shiftright("__first.__place", ROW_BITS))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = first.groupBy("__file").count().select("__file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__file").orderBy("__first"))
+    numbers = first.withColumn("__n", rank).join(files, "__file").select("sequence_id", (F.col("__before") + F.col("__n") - 1).alias("__new"))
+    out = [F.col("__new").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns]
+    return packed.join(numbers, "sequence_id").select(*out)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", place: Column | None = None) -> DataFrame:
     """Tokenize, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Empty input gives no rows; repeated rows are packed one by one; null ids are kept.
+    Empty input gives no rows; repeated rows are packed one by one; null ids are kept. With place (see file_place), pieces
+    of one length are taken in its order, and sequences are numbered by the earliest place that they hold.
     """
-    parts, _ = materialize(pieces(docs, tokenizer, capacity, end_id, text), "pieces")
-    return pack(parts, capacity)
+    parts, _ = materialize(pieces(docs, tokenizer, capacity, end_id, text, place), "pieces")
+    packed = pack(parts, capacity)
+    if place is None:
+        return packed
+    packed, _ = materialize(packed, "packed")
+    return by_first_place(packed).drop("__place")
