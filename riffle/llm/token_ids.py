@@ -70,7 +70,8 @@ class IdCache:
     """Ids, as little-endian unsigned 32-bit bytes, of texts under the tokenizers file at `path`.
 
     Chunks are looked up all at once: by a 64-bit hash (polynomial over random byte values, then mixed) in an open table of
-    arrays, which leads to their ids in a pool. When the table is full it starts anew.
+    arrays, which leads to their bytes and ids in pools. A hit counts only if all bytes are equal; a chunk whose hash leads
+    to another's bytes is encoded by itself. When the table is full it starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,11 +89,14 @@ class IdCache:
         self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
         self.at = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         self.count = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.place = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.size = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         self._start_anew()
 
     def _start_anew(self) -> None:
         self.keys[:] = 0
         self.pool, self.used, self.chunks = np.empty(1 << 20, dtype="<u4"), 0, 0
+        self.bytes, self.held = np.zeros(1 << 20, dtype=np.uint8), 0
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -137,8 +141,8 @@ class IdCache:
             open_ = open_[(k != h[open_]) & (k != 0)]
         return slot, self.keys[slot] == h
 
-    def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """Distinct new hashes with their ids."""
+    def _pooled(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids into the pool: where they begin there, and how many they are."""
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         while self.used + len(flat) > len(self.pool):
@@ -146,6 +150,18 @@ class IdCache:
         self.pool[self.used : self.used + len(flat)] = flat
         places = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
+        return places, counts
+
+    def _add(self, h: np.ndarray, chunks: list[bytes], ids: list[bytes]) -> None:
+        """Distinct new hashes with their bytes and ids."""
+        places, counts = self._pooled(ids)
+        flat = np.frombuffer(b"".join(chunks), dtype=np.uint8)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        while self.held + len(flat) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
+        self.bytes[self.held : self.held + len(flat)] = flat
+        held = self.held + np.cumsum(sizes) - sizes
+        self.held += len(flat)
         self.chunks += len(h)
         left = np.arange(len(h))
         while len(left):
@@ -153,8 +169,18 @@ class IdCache:
             slots, first = np.unique(slot, return_index=True)
             won = left[first]
             self.keys[slots], self.at[slots], self.count[slots] = h[won], places[won], counts[won]
+            self.place[slots], self.size[slots] = held[won], sizes[won]
             left = np.setdiff1d(left, won, assume_unique=True)
 
+    def _others(self, letters: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Chunks (their bytes one after another in `letters`) whose slot holds other bytes than theirs."""
+        if not len(sizes):
+            return np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.place[slot] - (ends - sizes), sizes) + np.arange(len(letters))
+        wrong = np.add.reduceat(self.bytes[np.minimum(at, len(self.bytes) - 1)] != letters, ends - sizes, dtype=np.int64)
+        return np.flatnonzero((wrong > 0) | (self.size[slot] != sizes))
+
     def _slab(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts of SLAB bytes in all, their separators included."""
         raw = b" ".join(texts) + b" "
@@ -177,11 +203,19 @@ class IdCache:
                 where = first
             else:
                 where = np.flatnonzero(~known)[first]
-            self._add(new, self._new_chunks([raw[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]))
+            chunks = [raw[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]
+            self._add(new, chunks, self._new_chunks(chunks))
             slot, _ = self._find(h)
-        counts = self.count[slot]
+        at, counts = self.at[slot], self.count[slot]
+        other = self._others(a[~space], stops - starts, slot)
+        if len(other):  # two chunks of one hash: all but the first go without the table
+            chunks = [raw[i:j] for i, j in zip(starts[other].tolist(), stops[other].tolist(), strict=True)]
+            each = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+            places, numbers = self._pooled(self._new_chunks(list(each)))
+            of = np.array([each[c] for c in chunks])
+            at[other], counts[other] = places[of], numbers[of]
         ends = np.cumsum(counts)
-        ids = self.pool[np.repeat(self.at[slot] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ids = self.pool[np.repeat(at - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         cuts = 4 * np.concatenate(([0], ends))[np.searchsorted(starts, bounds)]
         return [ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
