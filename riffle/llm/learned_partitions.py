@@ -4,12 +4,15 @@ On a bounded sample: the nearest-neighbour graph is cut into balanced partitions
 directions of the neighbourhood means, refined by label moves under a capacity), and a small classifier learns, for each
 vector, how its neighbours spread over the partitions. Every vector is then indexed in its most probable partition, and a
 query searches the several most probable ones; how many is set on sample vectors kept from the training, to
-reach a target recall, up to all partitions. Equal vectors are indexed once, with their smallest ids. A
-partition is searched in blocks of bounded size, so that a popular one is split over tasks.
+reach a target recall. Where more partitions are needed than one classifier tells apart, each is partitioned again by a
+router of its own, which is learned on a sample of that partition by one task, so that partitions keep their size
+however many vectors there are. Equal vectors are indexed once, with their smallest ids. A partition is searched in
+blocks of bounded size, so that a popular one is split over tasks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 
 from riffle.llm.common import materialize
 
-#: Rows of a partition aimed at, and the most partitions.
-PER_PARTITION, MOST_PARTITIONS = 4096, 1024
+#: Rows of a partition aimed at; partitions of one router if it is the only one, and the most of each of two levels.
+PER_PARTITION, ONE_LEVEL, MOST_PARTITIONS = 1024, 256, 1024
+#: Vectors that a router learns from: so many for each of its partitions, within these limits.
+SAMPLE_EACH, SAMPLE_LEAST, SAMPLE_MOST = 64, 8192, 65_536
+#: Rows that one task routes on the second level.
+ROUTED_TOGETHER = 65_536
 #: Candidates and queries that one task compares at a time.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 8192
 
@@ -91,11 +98,25 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, slack: floa
     return label
 
 
-def fit_router(x: np.ndarray, n: int, k: int = 20, target: float = 0.97, seed: int = 11, hidden: int = 96, epochs: int = 30) -> Router:
-    """Learn partitions for n vectors of which x is a sample."""
+def levels(n: int, per_partition: int = PER_PARTITION, one_level: int = ONE_LEVEL) -> tuple[int, int]:
+    """Partitions of the first level, and of each of those on the second (1: there is none), for n vectors; powers of two."""
+    wanted = int(np.round(np.log2(max(1, n) / per_partition)))
+    wanted = max(wanted, 0 if n < 256 else 3 if n < 1024 else 4)
+    if 1 << wanted <= one_level:
+        return 1 << wanted, 1
+    most = int(np.log2(MOST_PARTITIONS))
+    first = min(most, (wanted + 1) // 2)
+    return 1 << first, 1 << min(most, wanted - first)
+
+
+def sample_size(parts: int) -> int:
+    return min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_EACH * parts))
+
+
+def fit_router(x: np.ndarray, parts: int, k: int = 20, target: float = 0.95, seed: int = 11, hidden: int = 96, epochs: int = 30) -> Router:
+    """Learn partitions for vectors of which x is a sample; with under four vectors for each there is one partition."""
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))].astype(np.float64)
-    parts = 1 << int(np.clip(np.round(np.log2(max(1, n) / PER_PARTITION)), 0 if n < 256 else 3, np.log2(MOST_PARTITIONS)))
     mean, dim = x.mean(axis=0), x.shape[1]
     if parts == 1 or len(x) < 4 * parts:
         return Router(mean, np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
@@ -168,48 +189,108 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", sample: int = 8192, target: float = 0.97) -> DataFrame:
+def _routed(router: Router, rows: pa.Table | pa.RecordBatch, base: int = 0, sizes: np.ndarray | None = None, need: int = 0) -> pa.Table:
+    """Rows (k, least, v) with p, the partition: the most probable one, or (with the partitions' sizes) as many of the most probable ones as the router probes, and more until they hold `need` vectors."""
+    column = rows.column("v")
+    x = _matrix(column if isinstance(rows, pa.RecordBatch) else column.combine_chunks())
+    best = router.best(x, 1 if sizes is None else router.b2.size)
+    number = np.ones(len(x), dtype=np.int64)
+    if sizes is not None:
+        number = np.minimum(best.shape[1], np.maximum(router.probes, 1 + (np.cumsum(sizes[best], axis=1) < need).sum(axis=1)))
+    row, rank = np.nonzero(np.arange(best.shape[1]) < number[:, None])
+    take = pa.array(row)
+    return pa.table([pa.array(base + best[row, rank].astype(np.int64)), *(rows.column(c).take(take) for c in ("k", "least", "v"))], names=["p", "k", "least", "v"])
+
+
+def _second_level(homes: DataFrame, asks: DataFrame, parts: int, k: int, target: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """homes and asks (p, k, least, v) routed on within their partitions, each by a router that one task learns there."""
+    size = sample_size(parts)
+    first = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("k"), "k"))
+    some = homes.withColumn("r", first).where(F.col("r") <= size).select("p", "v")  # cut before the shuffle
+
+    def learn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        router = fit_router(_matrix(group.column("v").combine_chunks()), parts, k, target)
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "router": [pickle.dumps(router)]})
+
+    routers, _ = materialize(some.groupBy("p").applyInArrow(learn, "p long, router binary"), "routers")
+
+    def further(rows: DataFrame, known: DataFrame) -> DataFrame:
+        every = "sizes" in known.columns
+
+        def route(_: tuple[pa.Scalar, ...], some: pa.Table, one: pa.Table) -> pa.Table:
+            if not some.num_rows or not one.num_rows:
+                return some.select(["p", "k", "least", "v"]).slice(0, 0)
+            router, base = pickle.loads(one.column("router")[0].as_py()), one.column("p")[0].as_py() * parts  # noqa: S301  written by this run
+            sizes = None
+            if every:
+                sizes = np.zeros(router.b2.size, dtype=np.int64)
+                for p, n in one.column("sizes")[0].as_py():
+                    sizes[p - base] = n
+            return _routed(router, some.select(["k", "least", "v"]), base, sizes, k + 1)
+
+        salts = rows.groupBy("p").agg(F.ceil(F.count("*") / ROUTED_TOGETHER).cast("int").alias("salts"))
+        left = rows.join(salts, "p").select("p", "k", "least", "v", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"))
+        others = salts.select(F.col("p").alias("p"), F.col("salts").alias("n"))
+        right = known.join(others, "p").select(*known.columns, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+        return left.groupBy("p", "salt").cogroup(right.groupBy("p", "salt")).applyInArrow(route, kind)
+
+    inner = further(homes, routers)
+    sizes = inner.groupBy("p").count().groupBy(F.floor(F.col("p") / parts).alias("p")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p"), F.col("count")))).alias("sizes"))
+    return inner, further(asks, routers.join(sizes, "p"))
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", target: float = 0.95, per_partition: int = PER_PARTITION, one_level: int = ONE_LEVEL) -> DataFrame:
     """query_id, rank (from 1), the found id (as id_col) and score (inner product) of each query's k nearest rows but itself.
 
-    Rows with a null id or an unusable vector take no part, nor do vectors of another length than most have; equal rows
-    count once. Fewer than k candidates give fewer rows; an empty table gives none.
+    Rows with a null id or an unusable vector take no part; a vector that is shorter than the longest counts as filled up
+    with zeros; equal rows count once; of different vectors under one id, the one with the smaller hash counts. Ties go to the
+    smaller id. Fewer than k candidates give fewer rows; an empty table gives none; other columns are left out. What comes
+    to the driver is the first level's sample, of sample_size() vectors.
     """
     spark = rows.sparkSession
     good = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector)))
-    lengths = good.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
+    width = good.agg(F.max(F.size(vector))).first()[0]
+    if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double").withColumnRenamed("vec_id", id_col)
-    key = F.concat(F.hex(F.xxhash64(vector)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), vector)))
-    base = good.where(F.size(vector) == lengths["n"]).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), key.alias("k"), is_query.alias("q"))
+    zero = F.lit(0).cast(good.schema[vector].dataType.elementType)
+    filled = F.when(F.size(vector) == width, F.col(vector)).otherwise(F.concat(vector, F.array_repeat(zero, F.lit(width) - F.size(vector))))
+    base = good.select(F.col(id_col).cast("long").alias("id"), filled.alias("v"), is_query.alias("q"))
+    base = base.withColumn("k", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v"))))
+    one, _ = materialize(base.select("id", "k", "q").groupBy("id").agg(F.min("k").alias("k"), F.max("q").alias("q")), "vector-ids")
     # of each distinct vector: its k + 1 smallest ids (a query may be among them), cut before the shuffle
-    smallest = F.dense_rank().over(Window.partitionBy("k").orderBy("id"))
-    ids = base.select("k", "id").withColumn("r", smallest).where(F.col("r") <= k + 1).groupBy("k").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    vectors, _ = materialize(base.groupBy("k").agg(F.first("v").alias("v"), F.max("q").alias("q"), F.min("id").alias("least")), "vectors")
+    smallest = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+    ids = one.select("k", "id").withColumn("r", smallest).where(F.col("r") <= k + 1).groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    of_k = one.groupBy("k").agg(F.max("q").alias("q"), F.min("id").alias("least"))
+    vectors, _ = materialize(base.groupBy("k").agg(F.first("v").alias("v")).join(of_k, "k").select("k", "v", "q", "least"), "vectors")
     n = vectors.count()
-    some = vectors.orderBy(F.xxhash64("k"), "k").limit(sample).select("v").collect()  # bounded by `sample`
-    router = fit_router(np.array([r["v"] for r in some], dtype=np.float64), n, k, target)
+    parts, further = levels(n, per_partition, one_level)
+    some = vectors.orderBy(F.xxhash64("k"), "k").limit(sample_size(parts)).select("v").collect()  # bounded
+    router = fit_router(np.array([r["v"] for r in some], dtype=np.float64), parts, k, target)
     shared = spark.sparkContext.broadcast(router)
 
-    def route(probes: int):  # noqa: ANN202
+    def route(sizes: np.ndarray | None):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                best = shared.value.best(_matrix(b.column(2)), probes)
-                take = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), *(c.take(take) for c in b.columns)], names=["p", "k", "least", "v"])
+                yield from _routed(shared.value, b, 0, sizes, k + 1).to_batches()
 
         return run
 
-    kind = f"p int, k string, least long, v {dict(base.dtypes)['v']}"
-    homes = vectors.select("k", "least", "v").mapInArrow(route(1), kind)
-    asks = vectors.where("q").select("k", "least", "v").mapInArrow(route(router.probes), kind)
-    home_sizes = {r["p"]: r["count"] for r in homes.groupBy("p").count().collect()}  # at most MOST_PARTITIONS rows
-    ask_sizes = {r["p"]: r["count"] for r in asks.groupBy("p").count().collect()}
-    blocks = F.create_map(*[F.lit(x) for p, c in home_sizes.items() for x in (p, -(-c // CANDIDATE_BLOCK))] or [F.lit(0), F.lit(1)])
-    shares = F.create_map(*[F.lit(x) for p, c in ask_sizes.items() for x in (p, -(-c // QUERY_BLOCK))] or [F.lit(0), F.lit(1)])
-    count = lambda m: F.coalesce(F.element_at(m, F.col("p")), F.lit(1))
-    spread = lambda m: F.explode(F.sequence(F.lit(0), count(m) - 1))
-    left = homes.withColumn("b", F.pmod(F.xxhash64("k"), count(blocks)).cast("int")).withColumn("s", spread(shares))
-    right = asks.withColumn("s", F.pmod(F.xxhash64("k"), count(shares)).cast("int")).withColumn("b", spread(blocks))
+    kind = f"p long, k string, least long, v {dict(base.dtypes)['v']}"
+    homes = vectors.select("k", "least", "v").mapInArrow(route(None), kind)
+    sizes = np.zeros(router.b2.size, dtype=np.int64)
+    for r in homes.groupBy("p").count().collect():  # at most MOST_PARTITIONS rows
+        sizes[r["p"]] = r["count"]
+    asks = vectors.where("q").select("k", "least", "v").mapInArrow(route(sizes), kind)
+    if further > 1:
+        homes, asks = _second_level(homes, asks, further, k, target, kind)
+    number = lambda df, out, block: df.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
+    # partitions with vectors and queries, and into how many blocks each side is cut: a row for each partition
+    grid, _ = materialize(number(homes, "blocks", CANDIDATE_BLOCK).join(number(asks, "shares", QUERY_BLOCK), "p"), "partition-blocks")
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = lambda: grid.select(*(F.col(c).alias(c) for c in grid.columns))  # noqa: E731  a join on either side has columns of its own
+    left = homes.join(cells(), "p").select("p", "k", "least", "v", part("blocks").alias("b"), each("shares").alias("s"))
+    right = asks.join(cells(), "p").select("p", "k", "least", "v", part("shares").alias("s"), each("blocks").alias("b"))
 
     def compare(_: tuple[pa.Scalar, ...], c: pa.Table, q: pa.Table) -> pa.Table:
         names = ["query", "k", "least", "score"]
@@ -225,7 +306,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     top = found.withColumn("r", best).where(F.col("r") <= k + 1).join(ids, "k")
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
     lists = top.groupBy("query").agg(F.slice(F.array_sort(pairs), 1, k + 1).alias("near"))  # at most (k + 1) ** 2 before the cut
-    queries = base.where("q").select("k", "id").distinct()
+    queries = one.where("q").select("k", "id")
     ranked = queries.join(lists, F.col("k") == F.col("query")).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k).alias("near"))
     out = ranked.select("query_id", F.posexplode("near").alias("r", "x"))
     return out.select("query_id", (F.col("r") + 1).alias("rank"), F.col("x.i").alias(id_col), (-F.col("x.s")).alias("score"))
