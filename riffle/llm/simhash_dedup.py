@@ -1,11 +1,12 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within `radius` bits share a variant within half the radius of each. Every distinct fingerprint
-therefore has all its variants (2081 for 64 bits and radius 4) looked at, grouped by variant. What is shuffled is keyed
+Two fingerprints within `radius` bits share a variant within half the radius (rounded up) of each. Every distinct
+fingerprint therefore has all its variants (2081 for 64 bits and radius 4) looked at, grouped by variant. What is shuffled is keyed
 by a prefix of the variant: a fingerprint goes once to each prefix that any of its variants has (1 + b + b(b-1)/2 keys
 for b bits), and the variants under that prefix are generated where they meet. That moves some dozens of 8-byte
-values for each fingerprint instead of thousands of pairs. Fingerprints that share a variant are linked as a star,
-verified by their Hamming distance, and reduced to a spanning forest in place; components are then joined across
+values for each fingerprint instead of thousands of pairs. A prefix under which too many variants would meet, as in a
+dense cluster of fingerprints, is split by further bits, as often as needed. Fingerprints that share a variant are linked as
+a star, verified by their Hamming distance, and reduced to a spanning forest in place; components are then joined across
 prefixes by alternating star contractions. No group is expanded into pairs.
 """
 
@@ -25,8 +26,10 @@ from riffle.llm.common import discard, materialize, small_batches, texts_of
 BITS = 64
 #: Variants that one task holds in memory at a time (8 bytes each, about five arrays).
 VARIANTS_AT_ONCE = 3_000_000
-#: Variants that one prefix should have on average; sets how many prefix bits are used.
-VARIANTS_PER_PREFIX = 2_000_000
+#: Variants that one prefix should have on average, which sets how many prefix bits are used; and most of one prefix before it is split.
+VARIANTS_PER_PREFIX, MOST_PER_PREFIX = 2_000_000, 16_000_000
+#: Bits by which a prefix is split.
+SPLIT_BITS = 8
 #: Shingle hashes whose bits are counted at a time.
 HASHES_AT_ONCE = 1 << 16
 
@@ -54,12 +57,12 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "__fp", kee
     """The columns `keep` of docs and the fingerprint as a signed long; null texts count as empty."""
     small_batches(docs.sparkSession)
     keep = keep or []
-    src = docs.select(*keep, F.col(text).alias("__text"))
-    schema = src.drop("__text").withColumn(out, F.lit(0).cast("long")).schema
+    src, said = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
+    schema = src.select(*keep, F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts_of(b, "__text")), dtype=np.uint64, count=b.num_rows)
+            fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts_of(b, said)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fps.view(np.int64))], names=[*keep, out])
 
     return src.mapInArrow(run, schema)
@@ -94,7 +97,7 @@ def link_prefix(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int) ->
     Variants are made in slices by further bits, so that memory stays bounded however many fingerprints meet here.
     """
     fps = np.unique(fps)
-    half = radius // 2
+    half = -(-radius // 2)
     low = np.uint64((1 << prefix_bits) - 1)
     used = np.bitwise_count((fps ^ np.uint64(prefix)) & low)
     base = (fps & ~low) | np.uint64(prefix)
@@ -157,21 +160,53 @@ def link_prefix(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int) ->
     return fps[moved], fps[label[moved]]
 
 
+def _spread(rows: DataFrame, bits: int, more: int, half: int) -> DataFrame:
+    """rows (fp, prefix, used) by `more` further bits of the prefix, after the first `bits`: each with every change that its ball allows."""
+    flips = [(m, k) for k, ms in enumerate(_masks(list(range(bits, bits + more)), half)) for m in ms]
+    some = F.array(*[F.struct(F.lit(m - (m >> 63 << 64)).cast("long").alias("m"), F.lit(k).alias("k")) for m, k in flips])
+    if bits:  # at the beginning nothing is used up yet
+        some = F.filter(some, lambda f: f["k"] + F.col("used") <= half)
+    window = ((1 << more) - 1) << bits
+    here = F.col("fp").bitwiseAND(F.lit(window - (window >> 63 << 64)).cast("long"))
+    each = rows.select("fp", "prefix", "used", F.explode(some).alias("f"))
+    return each.select("fp", F.col("prefix").bitwiseOR(here.bitwiseXOR(F.col("f.m"))).alias("prefix"), (F.col("used") + F.col("f.k")).alias("used"))
+
+
+def prefix_bits(n: int, radius: int) -> int:
+    """Bits of the prefix for n fingerprints, so that the variants under one are VARIANTS_PER_PREFIX on average."""
+    per_fp = sum(len(m) for m in _masks(list(range(BITS)), -(-radius // 2)))
+    return int(min(40, max(6, np.ceil(np.log2(max(1, n) * per_fp / VARIANTS_PER_PREFIX)))))
+
+
 def ball_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Links (a, b) between the n distinct fingerprints of column fp that connect all within `radius` bits."""
-    half = radius // 2
-    per_fp = sum(len(m) for m in _masks(list(range(BITS)), half)) if radius else 1
-    bits = int(min(16, max(6, np.ceil(np.log2(max(1, n) * per_fp / VARIANTS_PER_PREFIX)))))
-    flips = [m for ms in _masks(list(range(bits)), half) for m in ms]
-    low = (1 << bits) - 1
-    sent = fps.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.col("fp").bitwiseAND(F.lit(low)).bitwiseXOR(m.cast("long")))).alias("prefix"))
+    half, bits = -(-radius // 2), prefix_bits(n, radius)
+    rows = _spread(fps.select("fp", F.lit(0).cast("long").alias("prefix"), F.lit(0).alias("used")), 0, bits, half)
+    links = None
+    while True:
+        # variants that a fingerprint has under a prefix, by the bits of it that have been changed
+        weight = F.array(*[F.lit(sum(len(m) for m in _masks(list(range(bits, BITS)), half - u))) for u in range(half + 1)])
+        loads = rows.groupBy("prefix").agg(F.sum(F.get(weight, F.col("used"))).alias("n"))
+        hot, _ = materialize(loads.where(F.col("n") > MOST_PER_PREFIX).select("prefix"), "hot-prefixes")
+        last = bits == BITS or hot.isEmpty()
+        found = _meet(rows if last else rows.join(hot, "prefix", "left_anti"), bits, radius)
+        links = found if links is None else links.unionByName(found)
+        if last:
+            return links.distinct()
+        more = min(SPLIT_BITS, BITS - bits)
+        rows, _ = materialize(_spread(rows.join(hot, "prefix", "left_semi"), bits, more, half), "split-prefixes")
+        bits += more
+
+
+def _meet(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+    """Links among the fingerprints of each prefix of so many bits."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         got = group.column("fp").to_numpy().view(np.uint64)
-        a, b = link_prefix(got, key[0].as_py(), bits, radius)
+        a, b = link_prefix(got, key[0].as_py() % (1 << BITS), bits, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return sent.groupBy("prefix").applyInArrow(run, "a long, b long").distinct()
+    return rows.select("fp", "prefix").groupBy("prefix").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges, path = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    n = edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "k")
@@ -190,12 +225,13 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after, at = materialize(small, "links")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        m = after.count()
+        # both are sets of edges: they are the same if there are as many, and none is new
+        same = m == n and after.join(edges, ["u", "v"], "left_anti").isEmpty()
         discard(spark, path)
-        edges, path = after, at
-        if now == before:
+        edges, path, n = after, at, m
+        if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 def near_duplicates(docs: DataFrame, keys: list[str] | None = None, text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -207,7 +243,7 @@ def near_duplicates(docs: DataFrame, keys: list[str] | None = None, text: str =
     """
     keys = keys or ["doc_id"]
     marked, _ = materialize(with_fingerprint(docs, text, "__fp", keys, shingle), "fingerprints")
-    fps = marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(keys[0]).alias("least"))
+    fps, _ = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(keys[0]).alias("least")), "fingerprint-firsts")
     links, _ = materialize(ball_links(fps.select("fp"), fps.count(), radius), "ball-links")
     roots = components(links)
     # only fingerprints with links need their group's minimum; its table stands by itself, so that a join with a large group can be split
@@ -223,12 +259,22 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of every near-duplicate group: that with the smallest doc_id (nulls last), all columns kept."""
-    row = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = near_duplicates(docs.withColumn("__row", row), ["doc_id", "__row"], text, radius, shingle)
-    # null ids alone have a null component: they are told apart by the fingerprint of their group then
-    best = found.withColumn("__null", F.col("doc_id").isNull()).groupBy(F.col("__component"), F.when(F.col("__component").isNull(), F.col("__fp")).alias("__g")).agg(F.min(F.struct("__null", "doc_id", "__row")).alias("k"))
-    keep = best.select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__kept")).distinct()
-    left = docs.withColumn("__row", row)
-    hit = left.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__kept")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+    """One row of every near-duplicate group: that with the smallest doc_id (nulls last; ties: any one), all columns kept.
+
+    Columns may have any names. Rows are numbered as they are written once with their fingerprints; then groups are
+    decided on numbers alone, and texts move again only if the rows to drop are too many to be sent to every task.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    written, _ = materialize(with_fingerprint(numbered, f"c{names.index(text)}", "fp", numbered.columns, shingle), "fingerprints")
+    ids = F.col(f"c{names.index('doc_id')}")
+    key = F.struct(ids.isNull().alias("late"), ids.alias("id"), "row")
+    firsts, _ = materialize(written.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-firsts")
+    links, _ = materialize(ball_links(firsts.select("fp"), firsts.count(), radius), "ball-links")
+    roots = components(links)
+    members = roots.union(roots.select("root", "root").distinct()).join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first")
+    best = members.groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.row").alias("row"))
+    kept = firsts.join(members.select("fp"), "fp", "left_anti").select(F.col("first.row").alias("row")).union(best.select("row"))
+    dropped, _ = materialize(written.select("row").join(kept, "row", "left_anti"), "dropped-rows")
+    return written.join(dropped, "row", "left_anti").drop("row", "fp").toDF(*names)
