@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.llm import best_fit_packing, chat_format, learned_partitions, pfair_mix, quality_cnn, quality_rules, simhash_dedup, token_rollup, toxicity, url_filter
-from riffle.llm.common import materialize, shared_folder, table
+from riffle.llm.common import discard, materialize, run_folder, table
 
 #: Target weights by source, in blocks a cycle; sources without one share the rest's.
 WEIGHTS = {"src0": 24} | {f"src{i}": 4 for i in range(1, 20)}
@@ -72,26 +72,37 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
 
 
-def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and tokens by source, language and tokenizer version, maintained over four batches of changes.
-
-    Documents come in with an estimate from their n_chars, are revised to their counted tokens, and leave if they have none;
-    the first batch arrives twice.
-    """
+def _rollup(spark: SparkSession, sf_dir: str, tokenizers: dict[str, str | None]) -> DataFrame:
+    """Totals after batches of changes: documents arrive with an estimate from their n_chars, are revised to their counted tokens,
+    those without tokens leave and come back; the first batch is committed twice, and the store is compacted on the way."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", "text")
-    counts, _ = materialize(token_rollup.counted(docs, {token_rollup.WORDS: None, "word_bpe_49k": tokenizer_path()}), "token-counts")
-    image = lambda n: F.struct("source", "lang", "tokenizer", n.alias("tokens"))
-    estimate, actual, nothing = image(F.floor(F.coalesce("n_chars", F.lit(0)) / 4)), image(F.col("tokens")), F.lit(None)
-    store = token_rollup.RollupStore(spark, f"{shared_folder(spark)}/riffle/rollup-{uuid.uuid4().hex}")
-    arrivals = counts.select(nothing.cast(counts.select(estimate).schema[0].dataType).alias("old"), estimate.alias("new"))
-    store.commit("arrivals", token_rollup.signed(arrivals))
-    store.commit("counts", token_rollup.signed(counts.select(estimate.alias("old"), actual.alias("new"))))
-    store.commit("arrivals", token_rollup.signed(arrivals))
+    counts, path = materialize(token_rollup.counted(docs, tokenizers), "token-counts")
+    image = lambda n: F.struct("source", "lang", "tokenizer", n.cast("long").alias("tokens"))
+    estimate, actual = image(F.floor(F.coalesce("n_chars", F.lit(0)) / 4)), image(F.col("tokens"))
+    nothing = F.lit(None).cast(counts.select(actual).schema[0].dataType)
+    change = lambda rows, old, new: token_rollup.signed(rows.select(old.alias("old"), new.alias("new")))
+    store = token_rollup.RollupStore(spark, f"{run_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    store.commit("arrivals", change(counts, nothing, estimate))
+    store.commit("counts", change(counts, estimate, actual))
+    store.commit("arrivals", change(counts, nothing, estimate))
     empty = counts.where("tokens = 0")
-    store.commit("empty", token_rollup.signed(empty.select(actual.alias("old"), nothing.cast(empty.select(actual).schema[0].dataType).alias("new"))))
+    store.commit("gone", change(empty, actual, nothing))
+    store.compact()
+    store.commit("back", change(empty, nothing, actual))
+    discard(spark, path)
     return store.totals()
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens of every source, language and tokenizer version."""
+    return _rollup(spark, sf_dir, {token_rollup.WORDS: None, "word_bpe_49k": tokenizer_path()})
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_token_rollup that SQL can express: words between ASCII white space."""
+    return _rollup(spark, sf_dir, {token_rollup.WORDS: None})
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -109,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_rollup": op9_token_rollup,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "token_rollup_words": token_rollup_words,
 }
 
 _streams = [*WEIGHTS.items(), (pfair_mix.REST, REST_WEIGHT)]
@@ -146,11 +158,15 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": f"""
         with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
                    union all select -1, 0, 'user', '{INJECTION}' union all select -1, 1, 'assistant', '{INJECTION}'),
-        e as (select *, contains(x, '</s>') or contains(r, '</s>') or contains(r, '[INST]') or ends_with(r, '\\') esc,
+        e as (select *, {" or ".join(f"contains({c}, '{w}')" for c in "xr" for w in chat_format.CONTROLS)} or ends_with(r, '\\') esc,
                      length(translate(r || x, '\\<[', '')) plain, length(r || x) n from t),
         c as (select conv_id, count(*) n_turns, string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x) said,
                      coalesce(string_agg(x, '' order by turn, r, x) filter (where r = 'assistant'), '') loss,
                      sum(20 + n + case when esc then 1 + n - plain else 0 end)::bigint formatted_chars from e group by conv_id)
         select conv_id, n_turns, sha256(said) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, formatted_chars from c
     """,
+    "token_rollup_words": f"""
+        select source, lang, '{token_rollup.WORDS}' tokenizer, count(*) docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::bigint tokens
+        from documents group by source, lang
+    """,
 }
