@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REST = "rest"
+#: Rows that one bucket of the order key holds on average, at most.
+ROWS_PER_BUCKET = 50_000
+ADDED = ("__stream", "__block", "__slot", "__place", "__s", "__o", "__h", "__k", "__r", "__n", "__before", "__cycle", "__j", "__at", "__shapes")
 
 
 def _streams(weights: Mapping[str, int], rest: int) -> list[tuple[str, int]]:
@@ -50,14 +53,21 @@ def cycle_schedule(shapes: DataFrame) -> DataFrame:
     return slots.select("first", "stream", nth.cast("long").alias("j"), F.col("slot_in_cycle").cast("long").alias("slot_in_cycle"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, seed: int = 7, source: str = "source", ids: tuple[str, ...] = ("doc_id",), digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, seed: int = 7, source: str = "source", ids: tuple[str, ...] = ("doc_id",), digits: int | None = None) -> DataFrame:
     """docs with __stream (name), __block (within its stream), __slot (of the block in the mixture) and __place (in the block).
 
     Null sources and those without a weight are the rest. Rows that tie in `ids` are ordered by a hash of the whole row; equal
-    rows are interchangeable. An empty input gives no rows. Ranks are made within (stream, bucket of the order key), with
-    16 ** digits buckets, and the sizes of earlier buckets added, so that a stream with most rows costs no single task.
+    rows are interchangeable. An empty input gives no rows. Ranks are made within (stream, bucket of the order key) and the
+    sizes of earlier buckets added, so that a stream with most rows costs no single task; there are 16 ** digits buckets,
+    by default as many as keep ROWS_PER_BUCKET rows if all are of one stream. Columns of
+    docs that are named like those in ADDED are an error.
     """
     streams = _streams(weights, rest)
+    if clash := [c for c in docs.columns if c in ADDED]:
+        raise ValueError(f"columns of docs that mix() adds itself: {clash}")
+    if digits is None:
+        n = docs.count()
+        digits = next(d for d in range(3, 9) if d == 8 or n <= ROWS_PER_BUCKET * 16**d)
     number = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(streams[:-1]) for x in (s, i)]) if weights else F.create_map(F.lit(""), F.lit(0))
     of = F.coalesce(number[F.col(source)], F.lit(len(streams) - 1))
     keyed = docs.withColumns({"__s": of, "__o": order_key(seed, *ids), "__h": F.xxhash64(*docs.columns)}).withColumn("__k", F.substring("__o", 1, digits))
@@ -93,11 +103,19 @@ def mix(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int =
     return found.withColumn("__at", at).select(*docs.columns, F.element_at(names, F.col("__s") + 1).alias("__stream"), "__block", slot.alias("__slot"), "__place")
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, per_partition: int = 6_000, **options: object) -> DataFrame:
-    """All rows of docs in the mixture's order: partitions are consecutive ranges of slots, sorted within."""
+def in_order(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int = 16, per_partition: int = 6_000, bytes_per_partition: int = 128 << 20, **options: object) -> DataFrame:
+    """All rows of docs in the mixture's order: partitions are consecutive ranges of slots, sorted within.
+
+    A partition has per_partition rows or bytes_per_partition bytes of text on average, whichever is less. Columns may have any
+    names.
+    """
+    names = docs.columns
+    used = {"text", options.get("source", "source"), *options.get("ids", ("doc_id",))}
+    docs = docs.toDF(*(c if c in used else f"c{i}" for i, c in enumerate(names)))
     mixed = mix(docs, weights, rest, block, **options)
-    total = docs.count()
-    partitions = max(1, min(200_000, -(-total // per_partition)))
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) if "text" in names else F.lit(0)
+    total, volume = docs.agg(F.count("*"), size).first()
+    partitions = max(1, min(200_000, max(-(-total // per_partition), -(-volume // bytes_per_partition))))
     blocks = max(1, -(-total // block) + len(weights) + 1)  # at most one block of each stream is not full
     at = F.least(F.lit(partitions - 1), F.floor(F.col("__slot") * partitions / blocks)).cast("int")
-    return mixed.repartitionById(partitions, at).sortWithinPartitions("__slot", "__place").select(*docs.columns)
+    return mixed.repartitionById(partitions, at).sortWithinPartitions("__slot", "__place").select(*docs.columns).toDF(*names)
