@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import id_fold, labelled_sample, slabs, small_batches, texts_of
+from riffle.llm.common import free_name, id_fold, labelled_sample, slabs, small_batches, texts_of
 
 DIM, FILTERS = 6, 16
 #: Bytes between neighbouring filter positions, and positions in a cell, the unit of pooling: 128 bytes.
@@ -181,15 +181,20 @@ def train(sample: list[tuple[bytes, int]], prior: float | None = None, epochs: i
     return QualityModel(p["embedding"], p["filters"], p["offset"], p["out"], float(p["bias"][0] + np.log(prior or share[1] / share[0])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = 800, max_chars: int = 20_000) -> QualityModel:
-    """Train on at most per_class whole texts of either label, of at most max_chars characters, outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "quality", folds, held_out, False, per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = 800, most_bytes: int = 4 << 20) -> QualityModel:
+    """Train on at most per_class whole texts and most_bytes bytes of either label, outside the held-out fold."""
+    sample = labelled_sample(docs, labels, "quality", folds, held_out, per_class, most_bytes)
     good = labels.where(id_fold(F.col("doc_id"), folds) != held_out).agg(F.sum(F.expr("int(quality = 1)")), F.sum(F.expr("int(quality = 0)"))).first()
     return train(sample, (good[0] + 1) / (good[1] + 1) if good[0] is not None else None)
 
 
 def scored(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "__quality") -> DataFrame:
-    """docs with the probability as column `out`; null texts count as empty; other columns are passed on."""
+    """docs with the probability as column `out`; null texts count as empty; other columns are passed on.
+
+    A column that is named like `out` already is an error, so that callers with unknown columns choose the name by free_name().
+    """
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out} already")
     small_batches(docs.sparkSession)
     schema = docs.withColumn(out, F.lit(0.0)).schema
 
@@ -201,12 +206,18 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text", out: str =
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs."""
+    """doc_id, held_out, score and predicted for every row of docs.
+
+    Null and empty texts are one cell of padding; repeated rows are scored one by one and alike; texts of any length are
+    scored whole; a null id is in the fold of the empty text; a score of exactly 0.5 predicts 1; without labels of both kinds
+    all texts have one score. An empty table gives no rows, and other columns are left out.
+    """
     model = fit(docs, labels, folds, held_out, **bounds)
     found = scored(docs.select("doc_id", "text"), model, out="score").drop("text")
     return found.select("doc_id", (id_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds: int) -> DataFrame:
-    """Rows of docs at the threshold or above, with their columns."""
-    return scored(docs, fit(docs, labels, **bounds)).where(F.col("__quality") >= threshold).drop("__quality")
+    """Rows of docs at the threshold or above, with their columns, whatever they are named."""
+    model, out = fit(docs, labels, **bounds), free_name(docs, "__quality")
+    return scored(docs, model, out=out).where(F.col(out) >= threshold).drop(out)

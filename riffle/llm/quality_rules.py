@@ -190,9 +190,9 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000) -> list[Rule]:
-    """Rules from at most per_class labelled documents of either class, of at most max_chars characters."""
-    sample = labelled_sample(docs, labels, "quality", 1, 1, False, per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 8 << 20, folds: int = 1, held_out: int = 1) -> list[Rule]:
+    """Rules from at most per_class whole labelled documents and most_bytes bytes of either class, outside the held-out fold (by default there is none)."""
+    sample = labelled_sample(docs, labels, "quality", folds, held_out, per_class, most_bytes)
     rows = np.array([statistics(t) for t, _ in sample], dtype=np.int64).reshape(-1, len(STATISTICS))
     bad = np.array([y == 0 for _, y in sample], dtype=bool)
     # rules are for documents that pass the fixed limits
@@ -201,7 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: in
 
 
 def judge(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """doc_id, the base statistics, base_failed and kept of every row; empty texts fail the base limits."""
+    """doc_id, the base statistics, base_failed and kept of every row.
+
+    Null and empty texts have no words and fail the base limits; repeated rows are judged one by one and alike; statistics are
+    of whole texts, however long; a value that equals a threshold is at least it; without labels of both kinds there are
+    no rules, and what passes the base limits is kept. An empty table gives no rows, and other columns are left out.
+    """
     found = with_statistics(docs, ["doc_id"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.select("doc_id", *STATISTICS[:5], failed.alias("base_failed"), (~failed & verdict(fit(docs, labels, **bounds))).alias("kept"))

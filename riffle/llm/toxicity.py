@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import id_fold, labelled_sample, slabs, small_batches, texts_of
+from riffle.llm.common import free_name, id_fold, labelled_sample, slabs, small_batches, texts_of
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 #: Words of a passage.
 PASSAGE = 4
 DIM = 8
-#: Bytes scored at a time; a longer text is scored in parts that overlap by a passage.
+#: Bytes scored at a time; of a longer text, words that a slab ends in and the passages that reach on are carried over.
 SLAB = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -35,16 +35,23 @@ def lowered(text: bytes) -> bytes:
     return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
 
 
-def parts(text: bytes, most: int = SLAB) -> list[bytes]:
-    """The text, or consecutive parts of at most about `most` bytes cut at a space and overlapping by a passage."""
-    out = []
-    while len(text) > most:
-        cut = max(text.rfind(b" ", 0, most), text.rfind(b"\n", 0, most))
-        cut = cut if cut > most // 2 else most
-        out.append(text[:cut])
-        back = text[max(0, cut - 512) : cut].split()[-PASSAGE + 1 :]
-        text = b" ".join(back) + text[cut:] if sum(map(len, back)) < 256 else text[cut:]
-    return [*out, text]
+def _hashed(a: np.ndarray, space: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each n-gram length the bucket of the n-gram that starts at each of the first n places (0: it holds a space within)."""
+    a = np.where(space, np.uint8(0x20), a).astype(np.uint32)
+    h, blocked, out = a[:n].copy(), np.zeros(n, dtype=bool), []
+    for k in range(1, max(NGRAMS)):
+        h = h * np.uint32(0x01000193) + a[k : k + n]
+        if k + 1 in NGRAMS:
+            b = ((h * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+            b[blocked] = 0
+            out.append(b)
+        blocked |= space[k : k + n]
+    return out
+
+
+def ngram_numbers(length: np.ndarray) -> np.ndarray:
+    """N-grams of words of so many bytes: with its two spaces a word has length + 3 - n of them."""
+    return sum(np.maximum(0, length + 3 - g) for g in NGRAMS)
 
 
 def ngram_buckets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -52,25 +59,13 @@ def ngram_buckets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.
     raw = b" " + b"  ".join(texts) + b"  " + b" " * max(NGRAMS)
     a = np.frombuffer(raw, dtype=np.uint8)
     space = _SPACE[a]
-    a = np.where(space, np.uint8(0x20), a).astype(np.uint32)
     n = len(a) - max(NGRAMS)
     inside = ~space
     starts = np.flatnonzero(inside[1:n] & space[: n - 1]) + 1
     stops = np.flatnonzero(space[1 : n + 1] & inside[:n]) + 1
-    h, blocked, out = a[:n].copy(), np.zeros(n, dtype=bool), []
-    for k in range(1, max(NGRAMS)):
-        h = h * np.uint32(0x01000193) + a[k : k + n]
-        if k + 1 in NGRAMS:
-            b = ((h * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
-            b[blocked] = 0
-            out.append(b)
-        blocked |= space[k : k + n]
-    # a word of L bytes and its two spaces has L + 3 - n n-grams; those of one byte lie between the spaces
-    length = stops - starts
-    counts = sum(np.maximum(0, length + 3 - g) for g in NGRAMS)
     bounds = np.cumsum([0, *(len(t) + 2 for t in texts)])
     owner = np.searchsorted(bounds, starts - 1, side="right") - 1
-    return out, starts, counts, owner
+    return _hashed(a, space, n), starts, ngram_numbers(stops - starts), owner
 
 
 def passages(starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -80,6 +75,13 @@ def passages(starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.minimum(ends, last)
 
 
+def _means(words: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the average over the passage that it starts, from the words' sums and numbers of n-grams."""
+    total, number = (np.concatenate(([0.0], np.cumsum(x))) for x in (words, counts))
+    at = np.arange(len(ends))
+    return (total[ends] - total[at]) / np.maximum(1, number[ends] - number[at])
+
+
 def passage_scores(table: np.ndarray, buckets: list[np.ndarray], starts: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Average of the n-grams' values in each passage."""
     if not len(starts):
@@ -87,10 +89,43 @@ def passage_scores(table: np.ndarray, buckets: list[np.ndarray], starts: np.ndar
     values = table[buckets[0]]
     for b in buckets[1:]:
         values += table[b]
-    words = np.add.reduceat(values, starts - 1, dtype=np.float64)
-    total, number = (np.concatenate(([0.0], np.cumsum(x))) for x in (words, counts))
-    at = np.arange(len(starts))
-    return (total[ends] - total[at]) / np.maximum(1, number[ends] - number[at])
+    return _means(np.add.reduceat(values, starts - 1, dtype=np.float64), counts, ends)
+
+
+def long_score(text: bytes, table: np.ndarray) -> float:
+    """The highest passage of a lower-cased text of any length, slab by slab; minus infinity without words.
+
+    Sums and lengths of words are additive, so that a word may go on over slabs; words of which a passage still reaches
+    on are kept for the next slab. Every word starts a passage, as in ngram_buckets.
+    """
+    pad = max(NGRAMS)
+    best, sums, sizes, open_ = -np.inf, np.zeros(0), np.zeros(0, dtype=np.int64), False
+    for at in range(0, len(text) + 1, SLAB):
+        # places from the one before text[at] on; the last slab takes the space after the text too
+        raw = (text[at - 1 : at] or b" ") + text[at : at + SLAB + pad]
+        n = min(SLAB, len(text) + 1 - at)
+        a = np.frombuffer(raw + b" " * (n + pad + 1 - len(raw)), dtype=np.uint8)
+        space = _SPACE[a]
+        values = sum(table[b].astype(np.float64) for b in _hashed(a, space, n))
+        begins = np.flatnonzero(space[:n] & ~space[1 : n + 1])  # the places whose n-grams are the first of a word
+        cuts = np.concatenate(([0], begins)) if not len(begins) or begins[0] else begins
+        fresh = np.add.reduceat(values, cuts)
+        letters = np.add.reduceat((~space[1 : n + 1]).astype(np.int64), cuts)
+        if cuts[0] not in begins[:1]:  # what comes before the first beginning goes with the word that was open, if any
+            if open_:
+                sums[-1] += fresh[0]
+                sizes[-1] += letters[0]
+            fresh, letters = fresh[1:], letters[1:]
+        sums, sizes = np.concatenate((sums, fresh)), np.concatenate((sizes, letters))
+        last = at + SLAB > len(text)
+        open_ = len(sums) > 0
+        # a word is complete when the next one has begun
+        whole = len(sums) if last else max(0, len(sums) - PASSAGE)
+        if whole:
+            z = _means(sums, ngram_numbers(sizes), np.minimum(np.arange(len(sums)) + PASSAGE, len(sums)))
+            best = max(best, float(z[:whole].max()))
+            sums, sizes = sums[whole:], sizes[whole:]
+    return best
 
 
 @dataclass
@@ -111,14 +146,16 @@ class ToxicityModel:
 def score(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
     """Probability that each text is toxic: softmax at its highest passage; a text without words has that of an empty bag."""
     out = np.full(len(texts), -np.inf)
-    pieces = [(i, p) for i, t in enumerate(texts) for p in parts(lowered(t))]
-    for lo, hi in slabs([p for _, p in pieces], SLAB):
-        part = [p for _, p in pieces[lo:hi]]
-        buckets, starts, counts, owner = ngram_buckets(part)
+    some = [lowered(t) for t in texts]
+    for lo, hi in slabs(some, SLAB):
+        if len(some[lo]) > SLAB:
+            out[lo] = long_score(some[lo], table)
+            continue
+        buckets, starts, counts, owner = ngram_buckets(some[lo:hi])
         if len(starts):
             z = passage_scores(table, buckets, starts, counts, passages(starts, owner))
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            np.maximum.at(out, np.array([pieces[lo + k][0] for k in owner[first]]), np.maximum.reduceat(z, first))
+            out[lo + owner[first]] = np.maximum.reduceat(z, first)
     z = np.where(np.isneginf(out), min(0.0, bias), out + bias)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -186,13 +223,18 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
     return ToxicityModel(emb, w, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 1000, max_chars: int = 20_000) -> ToxicityModel:
-    """Train on at most per_class whole texts of either label, of at most max_chars characters, outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "toxic", folds, held_out, False, per_class, max_chars))
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 1000, most_bytes: int = 6 << 20) -> ToxicityModel:
+    """Train on at most per_class whole texts and most_bytes bytes of either label, outside the held-out fold."""
+    return train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, most_bytes))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "__toxicity") -> DataFrame:
-    """docs with the probability as column `out`; null texts count as empty; other columns are passed on."""
+    """docs with the probability as column `out`; null texts count as empty; other columns are passed on.
+
+    A column that is named like `out` already is an error, so that callers with unknown columns choose the name by free_name().
+    """
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out} already")
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model.table())  # one number for each bucket
@@ -207,13 +249,18 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs."""
+    """doc_id, held_out, score and predicted for every row of docs.
+
+    Null and empty texts have the score of an empty bag; repeated rows are scored one by one and alike; texts of any length
+    are scored whole; a null id is in the fold of the empty text; a score of exactly 0.5 predicts 1; without labels of both
+    kinds all texts have one score. An empty table gives no rows, and other columns are left out.
+    """
     model = fit(docs, labels, folds, held_out, **bounds)
     found = scored(docs.select("doc_id", "text"), model, out="score").drop("text")
     return found.select("doc_id", (id_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds: int) -> DataFrame:
-    """Rows of docs below the threshold, with their columns."""
-    model = fit(docs, labels, **bounds)
-    return scored(docs, model).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """Rows of docs below the threshold, with their columns, whatever they are named."""
+    model, out = fit(docs, labels, **bounds), free_name(docs, "__toxicity")
+    return scored(docs, model, out=out).where(F.col(out) < threshold).drop(out)

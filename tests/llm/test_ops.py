@@ -236,22 +236,55 @@ def test_chat_round_trip(spark):
         for turn in range(rng.randint(1, 6)):
             data.append((conv, turn, rng.choice(["user", "assistant", "system", None, "a[INST]b", "x\\", "r</s>"]), rng.choice(evil) if rng.random() < 0.8 else rng.choice(evil[:10]) + rng.choice(evil[:10])))
             k += 1
-    data += [(None, 0, "assistant", "null key"), (20, None, "assistant", "late"), (20, 1, "user", "first"), (21, 1, "assistant", "same"), (21, 1, "assistant", "same")]
+    data += [(None, 0, "assistant", "null key"), (None, 0, "user", "another"), (20, None, "assistant", "late"), (20, 1, "user", "first"), (21, 1, "assistant", "same"), (21, 1, "assistant", "same")]
     frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     formatted = chat_format.format_conversations(frame)
-    got = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
+    got = defaultdict(list)
+    for r in chat_format.digests(formatted).collect():
+        got[r.conv_id].append(r)
     by = defaultdict(list)
-    for c, t, r, x in data:
-        by[c].append((t is None, t or 0, r or "", x or ""))
-    texts = {r.conv_id: r.formatted for r in formatted.collect()}
-    for c, turns in by.items():
+    for i, (c, t, r, x) in enumerate(data):  # a row with a null key stands by itself
+        by[c, i if c is None else 0].append((t is None, t or 0, r or "", x or ""))
+    texts = defaultdict(list)
+    for r in formatted.collect():
+        texts[r.conv_id].append(r)
+    assert len(got[None]) == 2
+    for (c, _), turns in by.items():
         turns.sort()
         loss = "".join(x for *_, r, x in turns if r == "assistant")
-        assert got[c].n_turns == len(turns) and got[c].loss_chars == len(loss) and got[c].formatted_chars == len(texts[c])
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest()
-        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    spans = chat_format.loss_spans(frame.where("conv_id = 21")).orderBy("start").collect()
-    assert [texts[21][s.start : s.end] for s in spans] == ["same", "same"]
+        said = hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest()
+        (g,) = [g for g in got[c] if g.turns_sha256 == said]
+        (whole,) = [w for w in texts[c] if [(t.role, t.text) for t in w.turns] == [t[2:] for t in turns]]
+        assert g.n_turns == len(turns) and g.loss_chars == len(loss) and g.formatted_chars == len(whole.formatted)
+        assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        # the mask, by itself: spans of the rendering, unescaped
+        back = lambda t: __import__("re").sub(r"([<\[])\\|\\(\\)", lambda m: m[1] or m[2], t)
+        cut = [whole.formatted[s.start : s.end] for s in whole.loss]
+        assert "".join(back(x) if s.escaped else x for x, s in zip(cut, whole.loss, strict=True)) == loss
+        # no control string in any role or text as rendered
+        marks = __import__("re").findall(r"<s>|</s>|\[INST\]|\[/INST\]", whole.formatted)
+        assert marks == ["<s>", "[INST]", "[/INST]", "</s>"] * len(turns)
+
+
+def test_chat_oracle_on_control_strings(spark, tmp_path):
+    """The DuckDB form escapes by the same rule, with texts that hold one control string only."""
+    import duckdb
+
+    texts = [*chat_format.CONTROLS, "plain", "a\\b", "<s", "[\\INST]", "ends\\", "", None, "x<s>y[/INST]z"]
+    rows = [(c, t, r, x) for c, (r, x) in enumerate((r, x) for r in ("user", "assistant", "a<s>", "r\\", None) for x in texts) for t in (0, 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in registry.op8_chat_format(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    found = db.sql(registry.ORACLE_SQL["op8_chat_format"])
+    want = sorted(found.fetchall())
+    assert found.columns == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"] and got == want
+
+
+def nearest_of(x, ids, q, k=20):
+    score = x @ x[ids.index(q)]
+    return [(ids[i], score[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
 
 
 def test_nearest_vectors(spark):
@@ -259,27 +292,48 @@ def test_nearest_vectors(spark):
     v = rng.standard_normal((300, 8)).astype(np.float32)
     v[50:90] = v[50]
     data = [(int(i), [float(y) for y in x]) for i, x in enumerate(v)]
-    data += [(400, None), (401, [0.0] * 8), (402, [None] + [1.0] * 7), (403, [float("nan")] + [1.0] * 7), (404, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (405, [1.0] * 3), data[7]]
+    data += [(400, None), (401, [0.0] * 8), (402, [None] + [1.0] * 7), (403, [float("nan")] + [1.0] * 7), (404, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (405, [9.0] * 3), (406, []), data[7]]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("k", F.lit(0))
     got = defaultdict(dict)
-    for r in learned_partitions.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, target=1.0).collect():
+    for r in learned_partitions.nearest(frame, F.col("vec_id") % 20 == 0, target=1.0).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
-    x = v.astype(np.float64)
+    x = np.vstack([v.astype(np.float64), [9.0] * 3 + [0.0] * 5])  # the short vector counts as filled up
+    ids = [*range(300), 405]
     for q in range(0, 300, 20):
-        s = (x * x[q]).sum(axis=1)
-        order = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        assert [got[q][k + 1][0] for k in range(20)] == order
-        assert np.allclose([got[q][k + 1][1] for k in range(20)], s[order], rtol=0, atol=1e-12)
+        want = nearest_of(x, ids, q)
+        assert [got[q][k + 1][0] for k in range(20)] == [i for i, _ in want]
+        assert np.allclose([got[q][k + 1][1] for k in range(20)], [s for _, s in want], rtol=0, atol=1e-12)
     assert set(got) == set(range(0, 300, 20))
 
 
-def test_learned_routing_reaches_its_recall():
+def test_an_id_with_two_vectors_has_one_list(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(0, [-5.0, 2.0]), (7, [3.0, -2.0])]
+    got = learned_partitions.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, target=1.0).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 21)) and len({r.vec_id for r in got}) == 20
+
+
+@pytest.mark.parametrize("one_level", [256, 4])
+def test_routing_reaches_its_recall_with_fewer_probes(spark, monkeypatch, one_level):
+    """The whole search against brute force, on one level and on two."""
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((40, 16)) * 3
-    x = centres[rng.integers(0, 40, 9000)] + rng.standard_normal((9000, 16))
-    router = learned_partitions.fit_router(x[:4000], 100_000, target=0.95)
-    home, tried = router.best(x, 1)[:, 0], router.best(x[:100], router.probes)
-    near = np.argsort(-(x[:100] @ x.T), axis=1)[:, 1:21]
-    assert router.probes < router.b2.size and (home[near][:, :, None] == tried[:, None, :]).any(axis=2).mean() >= 0.9
+    x = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))
+    seen = []
+    fit = learned_partitions.fit_router
+    monkeypatch.setattr(learned_partitions, "fit_router", lambda *a, **b: seen.append(fit(*a, **b)) or seen[-1])
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in learned_partitions.nearest(frame, F.col("vec_id") % 20 == 0, per_partition=64, one_level=one_level).collect():
+        got[r.query_id].append(r.vec_id)
+    assert seen[0].probes < seen[0].b2.size and seen[0].b2.size == (64 if one_level == 256 else 8)
+    hits = [len({i for i, _ in nearest_of(x, list(range(4000)), q)} & set(got[q])) / 20 for q in range(0, 4000, 20)]
+    assert all(len(v) == 20 for v in got.values()) and np.mean(hits) >= 0.9
+
+
+def test_partition_levels():
+    assert learned_partitions.levels(100) == (1, 1) and learned_partitions.levels(500) == (8, 1) and learned_partitions.levels(51_000) == (64, 1)
+    first, second = learned_partitions.levels(10**9)
+    assert first == second == 1024
 
 
 def slow_statistics(text):
@@ -372,7 +426,18 @@ def test_rollup(spark, docs, rows, tmp_path):
     after = {(r.source, r.lang): r.tokens for r in store.totals().where("tokenizer = 'words_1'").collect()}
     assert not any(s == "src0" for s, _ in after)
     assert after["src1", "en"] == want["src1", "en"] + sum(r[3] == "src1" and r[2] == "en" for r in rows)
-    half = tmp_path / "r" / "batch=4"
+    # what an attempt wrote without its entry in the log does not count, nor does an entry that is not yet in its place
+    half = tmp_path / "r" / "data" / "lost"
     half.mkdir()
     (half / "part-0.parquet").write_bytes(b"torn")
-    assert store.committed() == ["1", "2", "3"] and store.totals().count() > 0
+    (tmp_path / "r" / "log" / ".aside").write_bytes(b"{")
+    totals = sorted(map(str, store.totals().collect()))
+    assert store.committed() == ["1", "2", "3"] and totals
+    assert not store._claim("log", "2", {"data": "other"})
+    # compacting changes no total, keeps ids, and can be followed by more batches
+    assert store.compact() and store.committed() == ["1", "2", "3"] and sorted(map(str, store.totals().collect())) == totals
+    assert not store.commit("2", token_rollup.signed(gone.select(image.alias("old"), none.alias("new"))))
+    assert store.commit("4", token_rollup.signed(gone.select(none.alias("old"), image.alias("new"))))
+    assert store.compact() and store.remove_replaced() > 0 and not half.exists()
+    back = {(r.source, r.lang): r.tokens for r in store.totals().where("tokenizer = 'words_1'").collect()}
+    assert back["src0", "en"] == want["src0", "en"] and back["src1", "en"] == after["src1", "en"]
