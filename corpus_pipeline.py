@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riffle.llm import best_fit_packing, pfair_mix, quality_cnn, registry, simhash_dedup, toxicity
-from riffle.llm.common import materialize, table
+from riffle.llm.common import discard, materialize, recorded, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the documents table. What a stage wrote is removed once the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with recorded() as made:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs, path = materialize(docs, f"stage-{k}")
         if k + 1 < len(STAGES):
-            docs, _ = materialize(docs, f"stage-{k}")
+            for old in [*(m for m in made if m != path), *([before] if before else [])]:
+                discard(spark, old)
+            before = path
     return docs
