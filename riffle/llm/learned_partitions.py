@@ -6,8 +6,9 @@ vector, how its neighbours spread over the partitions. Every vector is then inde
 query searches the several most probable ones; how many is set on sample vectors kept from the training, to
 reach a target recall. Where more partitions are needed than one classifier tells apart, each is partitioned again by a
 router of its own, which is learned on a sample of that partition by one task, so that partitions keep their size
-however many vectors there are. Equal vectors are indexed once, with their smallest ids. A partition is searched in
-blocks of bounded size, so that a popular one is split over tasks.
+however many vectors there are. Equal vectors are indexed once, with their smallest ids. Queries are searched in blocks
+that follow their first partitions, so that those of a block share most of what they probe: a block meets all that it
+needs in shards of bounded size, and each shard gives a query's best over all its partitions at once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ PER_PARTITION, ONE_LEVEL, MOST_PARTITIONS = 1024, 256, 1024
 SAMPLE_EACH, SAMPLE_LEAST, SAMPLE_MOST = 64, 8192, 65_536
 #: Rows that one task routes on the second level.
 ROUTED_TOGETHER = 65_536
-#: Candidates and queries that one task compares at a time.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 8192
+#: Queries of a block, and bytes of candidates (as doubles) that one task compares them with.
+QUERY_BLOCK, SHARD_BYTES = 8192, 64 << 20
+#: Pairs that a task holds before it cuts them down to each query's best.
+PAIRS_AT_ONCE = 2_000_000
 
 
 @dataclass
@@ -189,54 +192,119 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _routed(router: Router, rows: pa.Table | pa.RecordBatch, base: int = 0, sizes: np.ndarray | None = None, need: int = 0) -> pa.Table:
-    """Rows (k, least, v) with p, the partition: the most probable one, or (with the partitions' sizes) as many of the most probable ones as the router probes, and more until they hold `need` vectors."""
+def _vectors(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     column = rows.column("v")
-    x = _matrix(column if isinstance(rows, pa.RecordBatch) else column.combine_chunks())
-    best = router.best(x, 1 if sizes is None else router.b2.size)
-    number = np.ones(len(x), dtype=np.int64)
-    if sizes is not None:
-        number = np.minimum(best.shape[1], np.maximum(router.probes, 1 + (np.cumsum(sizes[best], axis=1) < need).sum(axis=1)))
+    return _matrix(column if isinstance(rows, pa.RecordBatch) else column.combine_chunks())
+
+
+def _at_home(router: Router, rows: pa.Table | pa.RecordBatch, base: int = 0) -> pa.Table:
+    """Rows (k, least, v) with p, the most probable partition."""
+    best = router.best(_vectors(rows), 1)[:, 0]
+    return pa.table([pa.array(base + best.astype(np.int64)), *(rows.column(c) for c in ("k", "least", "v"))], names=["p", "k", "least", "v"])
+
+
+def _probing(router: Router, rows: pa.Table | pa.RecordBatch, sizes: np.ndarray, need: int, base: int = 0) -> pa.Table:
+    """Rows (k, least, v) with ps: as many of the most probable partitions as the router probes, and more until they hold `need` vectors."""
+    best = router.best(_vectors(rows), router.b2.size)
+    number = np.minimum(best.shape[1], np.maximum(router.probes, 1 + (np.cumsum(sizes[best], axis=1) < need).sum(axis=1)))
     row, rank = np.nonzero(np.arange(best.shape[1]) < number[:, None])
-    take = pa.array(row)
-    return pa.table([pa.array(base + best[row, rank].astype(np.int64)), *(rows.column(c).take(take) for c in ("k", "least", "v"))], names=["p", "k", "least", "v"])
+    ps = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number))).astype(np.int32)), pa.array(base + best[row, rank].astype(np.int64)))
+    return pa.table([ps, *(rows.column(c) for c in ("k", "least", "v"))], names=["ps", "k", "least", "v"])
 
 
-def _second_level(homes: DataFrame, asks: DataFrame, parts: int, k: int, target: float, kind: str) -> tuple[DataFrame, DataFrame]:
-    """homes and asks (p, k, least, v) routed on within their partitions, each by a router that one task learns there."""
+def _second_level(homes: DataFrame, asks: DataFrame, parts: int, k: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """homes (p, k, least, v) and asks (ps, k, least, v) routed on within their partitions, each by a router that one task learns there."""
     size = sample_size(parts)
     first = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("k"), "k"))
     some = homes.withColumn("r", first).where(F.col("r") <= size).select("p", "v")  # cut before the shuffle
 
     def learn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        router = fit_router(_matrix(group.column("v").combine_chunks()), parts, k, target)
+        router = fit_router(_vectors(group), parts, k, target)
         return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "router": [pickle.dumps(router)]})
 
     routers, _ = materialize(some.groupBy("p").applyInArrow(learn, "p long, router binary"), "routers")
 
-    def further(rows: DataFrame, known: DataFrame) -> DataFrame:
+    def further(rows: DataFrame, known: DataFrame, schema: str) -> DataFrame:
         every = "sizes" in known.columns
 
         def route(_: tuple[pa.Scalar, ...], some: pa.Table, one: pa.Table) -> pa.Table:
-            if not some.num_rows or not one.num_rows:
-                return some.select(["p", "k", "least", "v"]).slice(0, 0)
+            if not one.num_rows:
+                raise ValueError("a partition has no router")
             router, base = pickle.loads(one.column("router")[0].as_py()), one.column("p")[0].as_py() * parts  # noqa: S301  written by this run
-            sizes = None
-            if every:
-                sizes = np.zeros(router.b2.size, dtype=np.int64)
-                for p, n in one.column("sizes")[0].as_py():
-                    sizes[p - base] = n
-            return _routed(router, some.select(["k", "least", "v"]), base, sizes, k + 1)
+            if not every:
+                return _at_home(router, some, base)
+            sizes = np.zeros(router.b2.size, dtype=np.int64)
+            for p, n in one.column("sizes")[0].as_py():
+                sizes[p - base] = n
+            return _probing(router, some, sizes, k + 1, base)
 
         salts = rows.groupBy("p").agg(F.ceil(F.count("*") / ROUTED_TOGETHER).cast("int").alias("salts"))
         left = rows.join(salts, "p").select("p", "k", "least", "v", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"))
         others = salts.select(F.col("p").alias("p"), F.col("salts").alias("n"))
         right = known.join(others, "p").select(*known.columns, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
-        return left.groupBy("p", "salt").cogroup(right.groupBy("p", "salt")).applyInArrow(route, kind)
+        # salts are dealt by hash, so that one of them can be without rows
+        full = right.join(left.select("p", "salt").distinct(), ["p", "salt"], "left_semi")
+        return left.groupBy("p", "salt").cogroup(full.groupBy("p", "salt")).applyInArrow(route, schema)
 
-    inner = further(homes, routers)
+    kind = f"k string, least long, v {dict(homes.dtypes)['v']}"
+    inner = further(homes, routers, f"p long, {kind}")
     sizes = inner.groupBy("p").count().groupBy(F.floor(F.col("p") / parts).alias("p")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p"), F.col("count")))).alias("sizes"))
-    return inner, further(asks, routers.join(sizes, "p"))
+    each = asks.select(F.explode("ps").alias("p"), "k", "least", "v")
+    live = each.join(sizes.select("p"), "p", "left_semi")  # first-level partitions without vectors have no router
+    return inner, further(live, routers.join(sizes, "p"), f"ps array<long>, {kind}")
+
+
+def _searched(homes: DataFrame, asks: DataFrame, k: int, width: int) -> DataFrame:
+    """query, k, least, score: in each shard of what its block needs, the k best for each row of asks over its partitions."""
+    # queries by the first partition that they probe: places in its range of all queries, dealt by hash, make blocks
+    firsts = asks.groupBy(F.get("ps", F.lit(0)).alias("p0")).agg(F.count("*").alias("n"))
+    starts = firsts.select("p0", "n", F.coalesce(F.sum("n").over(Window.orderBy("p0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each partition
+    block = F.floor((F.col("start") + F.pmod(F.xxhash64("k"), F.col("n"))) / QUERY_BLOCK)
+    dealt = asks.join(starts, F.get("ps", F.lit(0)) == F.col("p0")).select(block.alias("block"), "k", "v", "ps")
+    rows = max(1, SHARD_BYTES // (8 * width))
+    needs = dealt.select("block", F.explode("ps").alias("p")).distinct()
+    counted = needs.join(homes.groupBy("p").agg(F.count("*").alias("n")), "p")
+    shards = counted.groupBy("block").agg(F.ceil(F.sum("n") / rows).cast("int").alias("shards"))
+    met, _ = materialize(needs.join(shards, "block"), "partition-blocks")
+    left = homes.join(met, "p").select("block", F.pmod(F.xxhash64("k"), F.col("shards")).cast("int").alias("shard"), "p", "k", "least", "v")
+    of_block = met.groupBy("block").agg(F.max("shards").alias("of_block"))
+    right = dealt.join(of_block, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("of_block") - 1)).alias("shard"), "k", "v", "ps")
+
+    def compare(_: tuple[pa.Scalar, ...], c: pa.Table, q: pa.Table) -> pa.Table:
+        if not c.num_rows or not q.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.float64())], names=["query", "k", "least", "score"])
+        x, y, ids = _vectors(c), _vectors(q), c.column("least").to_numpy()
+        ps = q.column("ps").combine_chunks()
+        asked, of = ps.flatten().to_numpy(), np.repeat(np.arange(q.num_rows), np.diff(ps.offsets.to_numpy()))
+        by_p = np.argsort(asked, kind="stable")
+        asked, of = asked[by_p], of[by_p]
+        home = c.column("p").to_numpy()
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], home[order][1:] != home[order][:-1], [True])))
+        held, pairs = [], 0
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            who = of[np.searchsorted(asked, home[own[0]], "left") : np.searchsorted(asked, home[own[0]], "right")]
+            if len(who):
+                qi, ci, score = top_pairs(y[who], x[own], ids[own], k)
+                held.append((who[qi], own[ci], score))
+                pairs += len(qi)
+                if pairs > PAIRS_AT_ONCE:
+                    held = [_best(held, ids, k)]
+                    pairs = len(held[0][0])
+        qi, ci, score = _best(held, ids, k)
+        return pa.table([q.column("k").take(pa.array(qi)), c.column("k").take(pa.array(ci)), pa.array(ids[ci]), pa.array(score)], names=["query", "k", "least", "score"])
+
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(compare, "query string, k string, least long, score double")
+
+
+def _best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs (query, candidate, score) of each query, ties to the smaller id."""
+    qi, ci, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    order = np.lexsort((ids[ci], -score, qi))
+    qi, ci, score = qi[order], ci[order], score[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return qi[keep], ci[keep], score[keep]
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", target: float = 0.95, per_partition: int = PER_PARTITION, one_level: int = ONE_LEVEL) -> DataFrame:
@@ -271,37 +339,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     def route(sizes: np.ndarray | None):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield from _routed(shared.value, b, 0, sizes, k + 1).to_batches()
+                yield from (_at_home(shared.value, b) if sizes is None else _probing(shared.value, b, sizes, k + 1)).to_batches()
 
         return run
 
-    kind = f"p long, k string, least long, v {dict(base.dtypes)['v']}"
-    homes = vectors.select("k", "least", "v").mapInArrow(route(None), kind)
+    kind = f"k string, least long, v {dict(base.dtypes)['v']}"
+    homes = vectors.select("k", "least", "v").mapInArrow(route(None), f"p long, {kind}")
     sizes = np.zeros(router.b2.size, dtype=np.int64)
     for r in homes.groupBy("p").count().collect():  # at most MOST_PARTITIONS rows
         sizes[r["p"]] = r["count"]
-    asks = vectors.where("q").select("k", "least", "v").mapInArrow(route(sizes), kind)
+    asks = vectors.where("q").select("k", "least", "v").mapInArrow(route(sizes), f"ps array<long>, {kind}")
     if further > 1:
-        homes, asks = _second_level(homes, asks, further, k, target, kind)
-    number = lambda df, out, block: df.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
-    # partitions with vectors and queries, and into how many blocks each side is cut: a row for each partition
-    grid, _ = materialize(number(homes, "blocks", CANDIDATE_BLOCK).join(number(asks, "shares", QUERY_BLOCK), "p"), "partition-blocks")
-    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = lambda: grid.select(*(F.col(c).alias(c) for c in grid.columns))  # noqa: E731  a join on either side has columns of its own
-    left = homes.join(cells(), "p").select("p", "k", "least", "v", part("blocks").alias("b"), each("shares").alias("s"))
-    right = asks.join(cells(), "p").select("p", "k", "least", "v", part("shares").alias("s"), each("blocks").alias("b"))
-
-    def compare(_: tuple[pa.Scalar, ...], c: pa.Table, q: pa.Table) -> pa.Table:
-        names = ["query", "k", "least", "score"]
-        if not c.num_rows or not q.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.float64())], names=names)
-        c, q = c.combine_chunks(), q.combine_chunks()
-        ids = c.column("least").to_numpy()
-        qi, ci, score = top_pairs(_matrix(q.column("v").combine_chunks()), _matrix(c.column("v").combine_chunks()), ids, k + 1)
-        return pa.table([q.column("k").take(pa.array(qi)), c.column("k").take(pa.array(ci)), pa.array(ids[ci]), pa.array(score)], names=names)
-
-    found = left.groupBy("p", "b", "s").cogroup(right.groupBy("p", "b", "s")).applyInArrow(compare, "query string, k string, least long, score double")
+        homes, asks = _second_level(homes, asks, further, k, target)
+    found = _searched(homes, asks, k + 1, width)
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))
     top = found.withColumn("r", best).where(F.col("r") <= k + 1).join(ids, "k")
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
