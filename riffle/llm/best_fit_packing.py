@@ -165,13 +165,17 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
 def by_first_place(packed: DataFrame) -> DataFrame:
     """packed (with __place), its sequences numbered anew by the earliest piece that each holds.
 
-    A sequence's number is its rank among those that begin in its file, plus the sequences of the files before.
+    A sequence's number is its rank among those that begin in its run of ROWS_TOGETHER rows, plus those of the runs before in
+    its file and of the files before: most sequences begin in the first files, whose rows are no single task's therefore.
     """
-    first = packed.groupBy("sequence_id").agg(F.min(F.struct("__place", "piece")).alias("__first")).withColumn("__file", F.shiftright("__first.__place", ROW_BITS))
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = first.groupBy("__file").count().select("__file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__file").orderBy("__first"))
-    numbers = first.withColumn("__n", rank).join(files, "__file").select("sequence_id", (F.col("__before") + F.col("__n") - 1).alias("__new"))
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("__place", "piece")).alias("__first"))
+    first = first.withColumns({"__file": F.shiftright("__first.__place", ROW_BITS), "__run": F.floor(F.col("__first.__place") / ROWS_TOGETHER)})
+    runs = first.groupBy("__file", "__run").count()
+    so_far = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = runs.groupBy("__file").agg(F.sum("count").alias("count")).select("__file", so_far(Window.orderBy("__file")).alias("__files"))  # a row for each file
+    runs = runs.withColumn("__runs", so_far(Window.partitionBy("__file").orderBy("__run"))).join(files, "__file").select("__run", (F.col("__runs") + F.col("__files")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__run").orderBy("__first"))
+    numbers = first.withColumn("__n", rank).join(runs, "__run").select("sequence_id", (F.col("__before") + F.col("__n") - 1).alias("__new"))
     out = [F.col("__new").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns]
     return packed.join(numbers, "sequence_id").select(*out)
 
