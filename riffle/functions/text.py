@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Line boundaries besides CR LF, and white space, in the Unicode sense.
 LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SPACE_CLASS = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def split_lines(text: Column) -> Column:
@@ -22,12 +23,12 @@ def split_lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapsed(text: Column) -> Column:
     """Lower case, white space collapsed: the form of a snippet that fingerprints use."""
-    return strip(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")))
+    return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")))
 
 
 def fingerprint(*parts: Column) -> Column:

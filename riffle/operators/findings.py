@@ -37,20 +37,27 @@ def scope(findings: DataFrame, baseline: DataFrame, covered: DataFrame, spans: D
 
     Synthetic surface: introduced. Fingerprint in the baseline: pre-existing. Path covered by the baseline: introduced. Path with
     touched spans: introduced if one overlaps [start_line, end_line]. Path known to the change without spans: introduced.
-    Anything else: pre-existing. baseline: fingerprint; covered and known: path; spans: path, start, end.
+    Anything else: pre-existing. baseline: fingerprint; covered and known: path; spans: path, start, end. Each of these
+    has a run_id too and counts for that run alone, or it has none and counts for all runs (one baseline of one tree).
     """
-    mark = lambda df, key, out: df.select(F.col(key).alias(f"__{out}")).distinct().withColumn(out, F.lit(True))
-    f = findings.withColumn("__id", F.monotonically_increasing_id()) if "ordinal" not in findings.columns else findings.withColumn("__id", F.col("ordinal"))
-    touched = spans.groupBy(F.col("path").alias("__tp")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # few spans in a file
-    out = (
-        f.join(mark(baseline, "fingerprint", "hit"), F.col("fingerprint") == F.col("__hit"), "left")
-        .join(mark(covered, "path", "cov"), F.col("file") == F.col("__cov"), "left")
-        .join(touched, F.col("file") == F.col("__tp"), "left")
-        .join(mark(known, "path", "kno"), F.col("file") == F.col("__kno"), "left")
-    )
+    out = findings
+
+    def by(side: DataFrame, key: str, column: str, name: str, *more: Column) -> DataFrame:
+        """out joined with one row for each (run and) key of side."""
+        keys = ["run_id", key] if "run_id" in side.columns else [key]
+        one = side.groupBy(*(F.col(k).alias(f"__{name}_{k}") for k in keys)).agg(*(more or (F.lit(True).alias(f"__{name}"),)))
+        on = F.col(column) == F.col(f"__{name}_{key}")
+        if len(keys) == 2:
+            on = on & F.col("run_id").eqNullSafe(F.col(f"__{name}_run_id"))
+        return out.join(one, on, "left")
+
+    out = by(baseline, "fingerprint", "fingerprint", "hit")
+    out = by(covered, "path", "file", "cov")
+    out = by(spans, "path", "file", "spans", F.collect_list(F.struct("start", "end")).alias("__spans"))  # few spans in a file
+    out = by(known, "path", "file", "kno")
     overlap = F.exists("__spans", lambda s: (s["start"] <= F.col("end_line")) & (F.col("start_line") <= s["end"]))
     reason = first_precedence(
-        [(F.col("file").isin(*synthetic), "synthetic"), (F.col("hit"), "baseline"), (F.col("cov"), "new_in_covered"), (overlap, "in_hunk"), (F.col("__tp").isNotNull(), "outside_hunks"), (F.col("kno"), "known_path")],
+        [(F.col("file").isin(*synthetic), "synthetic"), (F.col("__hit"), "baseline"), (F.col("__cov"), "new_in_covered"), (overlap, "in_hunk"), (F.col("__spans").isNotNull(), "outside_hunks"), (F.col("__kno"), "known_path")],
         "untouched",
     )
     return out.withColumn("scope_reason", reason).withColumn("introduced_by_pr", F.col("scope_reason").isin("synthetic", "new_in_covered", "in_hunk", "known_path")).select(*findings.columns, *(c for c in ("scope_reason", "introduced_by_pr") if c not in findings.columns))

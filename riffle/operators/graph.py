@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riffle.storage import discard, materialize
 
-def _written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage of a loop and survives lost executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/riffle-checkpoints"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables of reached nodes that are read side by side before they are merged into one.
+MOST_TABLES = 8
 
 
 def bounded_bfs(edges: DataFrame, starts: DataFrame, most: int = 4, routes: bool = False) -> DataFrame:
     """start, node, distance (0..most) of everything within `most` hops of each start (column node) over edges (src, dst).
 
-    Each step joins the frontier with the edges and drops what has been reached; nothing is collected. With routes, the
-    path of each node too: the shortest, ties by the smallest sequence of nodes.
+    Each step joins the frontier with the edges and drops what has been reached; nothing is collected, and each frontier is
+    written, so that the plan does not grow with the hops. With routes, the path of each node too: the shortest, ties by
+    the smallest sequence of nodes.
     """
-    frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).dropDuplicates(["start", "node"])
+    step, _ = materialize(edges.select("src", "dst").distinct(), "edges")
+    path = [F.array("node").alias("path")] if routes else []
+    frontier, _ = materialize(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), *path).dropDuplicates(["start", "node"]), "frontier")
     reached = frontier
-    step = edges.select("src", "dst").distinct()
     for d in range(1, most + 1):
-        further = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
-        further = further.groupBy("start", "node", "distance").agg(F.min("path").alias("path"))
-        frontier = further.join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        longer = [F.concat("path", F.array("dst")).alias("path")] if routes else []
+        further = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("distance"), *longer)
+        further = further.groupBy("start", "node", "distance").agg(F.min("path").alias("path")) if routes else further.distinct()
+        frontier, _ = materialize(further.join(reached.select("start", "node"), ["start", "node"], "left_anti").select(*reached.columns), "frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
-    return reached if routes else reached.drop("path")
+    return reached
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """node of everything that any start (column node) reaches, itself included; loops until nothing is new."""
+    """node of everything that any start (column node) reaches, itself included; loops until nothing is new.
+
+    Rounds are written; when MOST_TABLES of them have come together they become one table, so that neither the plan nor the
+    number of tables grows with the diameter of the graph.
+    """
     spark = edges.sparkSession
-    step = edges.select("src", "dst").distinct()
-    reached = _written(starts.select("node").distinct(), spark)
-    frontier = reached
+    step, _ = materialize(edges.select("src", "dst").distinct(), "edges")
+    frontier, at = materialize(starts.select("node").distinct(), "reached")
+    tables = [(frontier, at)]
     while True:
+        reached = tables[0][0]
+        for t, _ in tables[1:]:
+            reached = reached.union(t)
         new = frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
-        frontier = _written(new, spark)
+        frontier, at = materialize(new, "reached")
         if frontier.isEmpty():
             return reached
-        reached = reached.union(frontier)
+        tables.append((frontier, at))
+        if len(tables) > MOST_TABLES:
+            whole = materialize(reached.union(frontier), "reached")
+            for _, old in tables[:-1]:
+                discard(spark, old)
+            tables = [whole]
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -56,19 +67,18 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def taint_pairs(sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, calls: DataFrame, most: int = 4) -> DataFrame:
-    """source, sink, path of symbols and sanitized_by for each source of a symbol and each sink it reaches within `most` calls.
+    """source, sink, sink_kind, path of symbols and sanitized_by for each source and each sink that its symbol reaches within `most` calls.
 
     sources and sinks: id, symbol, pattern, kind; sanitizers: symbol, name, kind; calls: src, dst. A pair of one non-empty
-    pattern is none. A sanitizer counts if a symbol on the route is named so and the first or last symbol has it for the sink's kind.
+    pattern is none. Sanitizers of the sink's kind count if the first or last symbol of the path holds them.
     """
     routes = bounded_bfs(calls, sources.select(F.col("symbol").alias("node")).distinct(), most, routes=True)
     s = sources.select(F.col("id").alias("source"), F.col("symbol").alias("start"), F.col("pattern").alias("__p1"))
     t = sinks.select(F.col("id").alias("sink"), F.col("symbol").alias("node"), F.col("pattern").alias("__p2"), F.col("kind").alias("sink_kind"))
     pairs = s.join(routes, "start").join(t, "node").where("not (coalesce(__p1, '') != '' and __p1 <=> __p2)")
-    by = sanitizers.groupBy(F.col("symbol").alias("__sym"), F.col("kind").alias("__kind")).agg(F.collect_set("name").alias("names"))
-    at = lambda end, out: (by.select(F.col("__sym").alias(end), F.col("__kind").alias("sink_kind"), F.col("names").alias(out)), [end, "sink_kind"])
-    (a, on_a), (b, on_b) = at("start", "__a"), at("node", "__b")
-    full = pairs.join(a, on_a, "left").join(b, on_b, "left")
+    by = sanitizers.groupBy(F.col("symbol").alias("__sym"), F.col("kind").alias("sink_kind")).agg(F.collect_set("name").alias("names"))
+    at = lambda end, out: by.select(F.col("__sym").alias(end), "sink_kind", F.col("names").alias(out))
+    full = pairs.join(at("start", "__a"), ["start", "sink_kind"], "left").join(at("node", "__b"), ["node", "sink_kind"], "left")
     none = F.array().cast("array<string>")
     known = F.array_distinct(F.concat(F.coalesce("__a", none), F.coalesce("__b", none)))
-    return full.select("source", "sink", "sink_kind", "path", F.array_sort(F.array_intersect(known, "path")).alias("sanitized_by")).distinct()
+    return full.select("source", "sink", "sink_kind", "path", F.array_sort(known).alias("sanitized_by")).distinct()

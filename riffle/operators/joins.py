@@ -30,11 +30,52 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, how: str = "left_se
 def smallest_container(points: DataFrame, spans: DataFrame, key: str, at: str, order: str, keep: Sequence[str]) -> DataFrame:
     """points with the columns `keep` of the shortest span (start, end) of the same key that holds `at`; ties: lowest `order`; nulls if none.
 
-    Points are told apart by all their columns; equal points share a result.
+    Points are told apart by all their columns; equal points share a result. A span of up to 2 ** level places lies in one or
+    two bins of that size, so that a point meets only spans near it, by (key, level, bin), and not all spans of a
+    popular key. Levels that occur (64 at most) are collected.
     """
-    s = spans.select(F.col(key).alias("__k"), "start", "end", F.struct((F.col("end") - F.col("start")).alias("size"), F.col(order).alias("o"), *keep).alias("__c"))
-    joined = points.join(s, (F.col(key) == F.col("__k")) & F.col(at).between(F.col("start"), F.col("end")), "left")
-    return joined.groupBy(*points.columns).agg(F.min("__c").alias("__c")).select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
+    size = F.col("end") - F.col("start")
+    level = F.when(size <= 0, 0).otherwise(F.ceil(F.log2(size + 1))).cast("int")
+    s = spans.where("start <= end").select(F.col(key).alias("__k"), "start", "end", level.alias("__l"), F.struct(size.alias("size"), F.col(order).alias("o"), *keep).alias("__c"))
+    levels = sorted(r[0] for r in s.select("__l").distinct().collect())
+    bin_of = lambda c, lv: F.expr(f"cast(floor({c} / shiftleft(1L, {lv})) as bigint)")
+    near = s.withColumn("__b", F.explode(F.sequence(bin_of("start", "__l"), bin_of("end", "__l"))))
+    asked = points.select(key, at).distinct().withColumn("__pl", F.explode(F.array(*[F.lit(x) for x in levels] or [F.lit(None).cast("int")])))
+    asked = asked.withColumn("__pb", bin_of(f"`{at}`", "__pl"))
+    hit = asked.join(near, (F.col(key) == F.col("__k")) & (F.col("__pl") == F.col("__l")) & (F.col("__pb") == F.col("__b")) & F.col(at).between(F.col("start"), F.col("end")))
+    best = hit.groupBy(key, at).agg(F.min("__c").alias("__c"))
+    out = points.distinct().join(best, [key, at], "left")
+    return out.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
+
+
+def first_container(points: DataFrame, spans: DataFrame, key: str, at: str, order: str, keep: Sequence[str]) -> DataFrame:
+    """points with the columns `keep` of the first span (by `order`) of the same key that holds `at`, whatever its size; nulls if none."""
+    s = spans.select(F.col(key).alias("__k"), "start", "end", F.struct(F.col(order).alias("o"), *keep).alias("__c"))
+    on = (F.col(key) == F.col("__k")) & F.col(at).between(F.col("start"), F.col("end"))
+    best = points.join(s, on, "left").groupBy(*points.columns).agg(F.min("__c").alias("__c"))
+    return best.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
+
+
+def meeting(ranges: DataFrame, spans: DataFrame, key: str, name: str) -> DataFrame:
+    """ranges (key, start, end, …) with `name`: sorted distinct values of that column of the spans of the same key that overlap."""
+    s = spans.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(name).alias("__v"))
+    hit = ranges.join(s, (F.col(key) == F.col("__k")) & (F.col("__s") <= F.col("end")) & (F.col("start") <= F.col("__e")), "left")
+    return hit.groupBy(*ranges.columns).agg(F.array_sort(F.collect_set("__v")).alias(name))
+
+
+def back_references(rows: DataFrame, keys: Sequence[str], content: str, order: str, out: str = "same_as") -> DataFrame:
+    """rows with `out`: the `order` of the first row of the group with the same content, null for that row itself."""
+    first = F.min(order).over(Window.partitionBy(*keys, F.sha2(F.col(content).cast("binary"), 256)))
+    return rows.withColumn(out, F.when(first != F.col(order), first))
+
+
+def excluded(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """rows (id, repo, sha) without those that an exclusion (column key) names: by id, or as repo@sha with the whole hash or its first 12 digits."""
+    e = exclusions.select(F.col("key").alias("__x")).where("__x is not null").distinct()
+    keys = F.array("id", F.concat("repo", F.lit("@"), "sha"), F.concat("repo", F.lit("@"), F.substring("sha", 1, 12)))
+    named = rows.select("id", "repo", "sha", F.explode(keys).alias("__x")).join(e, "__x", "left_semi").select(F.col("id").alias("__i"), F.col("repo").alias("__r"), F.col("sha").alias("__s")).distinct()
+    same = F.col("id").eqNullSafe(F.col("__i")) & F.col("repo").eqNullSafe(F.col("__r")) & F.col("sha").eqNullSafe(F.col("__s"))
+    return rows.join(named, same, "left_anti")
 
 
 def ordered_fallback(subject: Column, exact: Sequence[tuple[str, str]], patterns: Sequence[tuple[str, str]], fallback: Column | None, unmapped: str) -> Column:
