@@ -78,6 +78,7 @@ GATE_FLOOR, GATE_CONFIDENCE = "high", 6
 FILE_CHURN, EDGE_CHURN = 0.25, 0.15
 MOST_FILES, MOST_HUNKS, MOST_ADDITIONS = 300, 2000, 20000
 MOST_LINE_CHARS, SENTINEL_SNIPPET, FINDING_SNIPPET = 4000, 200, 400
+TRIAGE_HUNKS, TRIAGE_CHARS = 60, 1200
 TRUST_PENALTY, EDIT_WINDOW, MOST_HOPS, MOST_NEIGHBOURS = 2, 3, 4, 6
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riffle.functions import tables as T
 from riffle.functions import text as X
 from riffle.operators.joins import first_precedence
+from riffle.operators.scan import inert
 
 # Path shapes that touch something, documents, and words of security tests.
 PATH_SIGNALS = (
@@ -51,6 +52,31 @@ def signals_in(spans: DataFrame, signals: DataFrame) -> DataFrame:
     return hit.groupBy(*spans.columns).agg(F.array_sort(F.collect_set(touch)).alias("touches"), F.max("__c").alias("signal_confidence"))
 
 
+def edits_near(spans: DataFrame, edits: DataFrame) -> DataFrame:
+    """spans (run_id, path, hunk_id, start, end) with edits: sorted kinds of the guard edits (run_id, path, kind, line) within EDIT_WINDOW lines.
+
+    Removed lines are numbered in the old file, so that the window lets a deletion meet the hunk where it landed. A null span
+    takes all edits of its file.
+    """
+    e = edits.select(F.col("run_id").alias("__r"), F.col("path").alias("__p"), F.col("kind").alias("__k"), F.col("line").alias("__at"))
+    near = F.col("start").isNull() | F.col("__at").between(F.col("start") - T.EDIT_WINDOW, F.col("end") + T.EDIT_WINDOW)
+    hit = spans.join(e, (F.col("run_id") == F.col("__r")) & (F.col("path") == F.col("__p")) & near, "left")
+    return hit.groupBy(*spans.columns).agg(F.array_sort(F.collect_set("__k")).alias("edits"))
+
+
+def rationale(touches: Column, why: Column, edits: Column, tainted: Column, weakened: Column, checklist: Column) -> Column:
+    """Why a group stands out, in sentences: what it touches and by which signs, its guard edits (kind:name), taint, weakened tests, and the significant points."""
+    surface = F.when(F.size(touches) > 0, F.concat(F.lit("touches "), F.array_join(F.array_sort(touches), ", "), F.lit(" ("), F.coalesce(F.nullif(why, F.lit("")), F.lit("path")), F.lit(")")))
+    return F.concat_ws(
+        ". ",
+        F.coalesce(surface, F.lit("no security surface is known for this file")),
+        F.when(F.size(edits) > 0, F.array_join(F.array_sort(F.array_distinct(edits)), "; ")),
+        F.when(tainted, F.lit("a taint path passes through the changed lines")),
+        F.when(weakened, F.lit("a security assertion was removed from a test")),
+        F.when(F.size(checklist) > 0, F.concat(F.lit("significant: "), F.array_join(checklist, "; "))),
+    )
+
+
 def security_relevant(signals: DataFrame) -> DataFrame:
     return signals.where(F.col("kind").isin(*T.GUARDRAIL_KINDS)).select("run_id", "path").distinct()
 
@@ -92,6 +118,36 @@ def filter_changes(changes: DataFrame, captured: DataFrame, formatting: DataFram
     return out.select(*changes.columns, F.when(kept, "kept").otherwise("dropped").alias("decision"), reason.alias("reason"), F.when(~kept, F.col("__tier") != "binary").alias("guardrail_considered"))
 
 
+def inert_hunks(changed: DataFrame, strings: DataFrame) -> DataFrame:
+    """run_id, path, hunk_id of hunks whose changed lines are all blank or comments, none of the added ones inside a literal of several lines.
+
+    changed: run_id, path, hunk_id, tag, new_ln, text; strings: path, start, end (python_code.string_lines of the new side).
+    """
+    lines = changed.where(F.col("tag").isin("+", "-"))
+    inside = lines.where("tag = '+'").join(strings.select(F.col("path").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e")), (F.col("path") == F.col("__p")) & F.col("new_ln").between(F.col("__s"), F.col("__e")), "left_semi")
+    keys = ["run_id", "path", "hunk_id"]
+    quiet = lines.groupBy(*keys).agg(F.every(inert(F.col("text"))).alias("q")).where("q").select(*keys)
+    return quiet.join(inside.select(*keys).distinct(), keys, "left_anti")
+
+
+def filter_stats(filtered: DataFrame) -> DataFrame:
+    """run_id, decision, reason, n of filter_changes."""
+    return filtered.groupBy("run_id", "decision", "reason").agg(F.count("*").alias("n"))
+
+
+def triage_payload(hunks: DataFrame, most: int = T.TRIAGE_HUNKS, chars: int = T.TRIAGE_CHARS) -> DataFrame:
+    """run_id, hunk_id, text of the first `most` hunks (by ordinal) of each run, each cut at `chars` characters: what a model is asked about."""
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal"))
+    return hunks.withColumn("__n", first).where(F.col("__n") <= most).select("run_id", "hunk_id", F.substring("text", 1, chars).alias("text"))
+
+
+def triage_labels(replies: DataFrame, hunks: DataFrame) -> DataFrame:
+    """run_id, hunk_id, label from replies (run_id, text): JSON objects by hunk id, fenced or bare; only yes, no and maybe about known hunks count."""
+    bare = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
+    said = replies.select("run_id", F.explode(F.from_json(bare, "map<string,string>")).alias("hunk_id", "label")).withColumn("label", F.lower(F.trim("label")))
+    return said.where(F.col("label").isin("yes", "no", "maybe")).join(hunks.select("run_id", "hunk_id").distinct(), ["run_id", "hunk_id"], "left_semi")
+
+
 def apply_triage(kept: DataFrame, labels: DataFrame) -> DataFrame:
     """Hunks but those labelled "no" (run_id, hunk_id, label): anything else, or no label, keeps a hunk."""
     return kept.join(labels.where("label = 'no'").select("run_id", "hunk_id"), ["run_id", "hunk_id"], "left_anti")
