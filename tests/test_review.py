@@ -1,7 +1,7 @@
 import json
 
 from pyspark.sql import functions as F
-from riffle.operators import change, detect
+from riffle.operators import change, detect, profile
 from riffle.plans.review import review
 from riffle.sinks import cache, reports
 from riffle.sources import python_code
@@ -55,7 +55,7 @@ def test_rule_mapping(spark):
     rows = [("checkov", "CKV_DOCKER_3"), ("checkov", "CKV_NEW"), ("semgrep", "x.sql-injection.y"), ("semgrep", "insecure-deserialization"), ("semgrep", "odd"), ("semgrep", None)]
     df = spark.createDataFrame(rows, "tool string, rule string").select(detect.mapped_rule(F.col("tool"), F.col("rule")).alias("m"))
     assert [(r.m.internal, r.m.confidence, r.m.origin) for r in df.collect()] == [("CFG-CONTAINER-PRIVILEGE", 7, "exact"), ("CFG-IAC", 5, "fallback"), ("INJ-SQLI", 5, "heuristic"), ("INJ-DESERIALIZE", 5, "heuristic"), ("TOOL-UNMAPPED", 3, "unmapped"), ("TOOL-UNMAPPED", 3, "unmapped")]
-    assert len(detect.mapping_digest()) == 16
+    assert len(detect.mapping_digest(spark)) == 16
 
 
 def test_routes_and_groups(spark):
@@ -89,13 +89,13 @@ def test_taint_and_access(spark):
 
 
 def test_python_sources(spark):
-    code = "import x\n@app.route('/a')\n@login_required\ndef view(q):\n    return run(q)\ndef run(q):\n    db.execute(q)\n    y = q.z\n"
+    code = "from flask import Flask\n@app.route('/a')\n@login_required\ndef view(q):\n    return run(q)\ndef run(q):\n    db.execute(q)\n    y = q.z\n"
     files = spark.createDataFrame([("m.py", code), ("bad.py", "def ("), ("none.py", None)], "path string, text string")
     facts = python_code.scan_sources(files)
     assert {(r.path, r.kind) for r in facts.where("path <> 'm.py'").collect()} == {("bad.py", "error")}
-    assert [(r.src, r.dst) for r in python_code.call_edges(facts).collect()] == [("m.view", "m.run")]
-    e = python_code.endpoints(facts, ["login_required"], ["allow_any"]).collect()
-    assert [(r.symbol, r.verb, r.route, r.guards, r.guarded) for r in e] == [("m.view", "route", "/a", ["login_required"], True)]
+    assert [(r.src, r.dst) for r in python_code.call_edges(facts).collect()] == [("m.py:view", "m.py:run")]
+    e = profile.endpoints(facts).collect()
+    assert [(r.symbol, r.methods, r.route, r.guards, r.guarded) for r in e] == [("m.py:view", ["GET"], "/a", ["login_required"], True)]
     pairs = spark.createDataFrame([(1, "x = 1 # a", "x  =  1"), (2, "x = 1", "x = 2"), (3, "def (", "def ("), (4, 'def f():\n  "doc"\n  return 1', "def f():\n  return 1"), (5, None, None)], "i int, before string, after string")
     assert {r.i: r.equal for r in python_code.equal_structure(pairs).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
 
