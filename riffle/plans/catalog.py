@@ -47,7 +47,7 @@ DOC_RULES = (
 _RULE_ROWS = ", ".join(f"({i}, '{r.rule}', '{r.internal}', '{r.severity}', {r.confidence}, '{r.status}', '{r.pattern}', {r.gating}, {r.generic})" for i, r in enumerate(DOC_RULES))
 _LINES = "lines as (select doc_id, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents)"
 _RULES = f"rules as (select * from (values {_RULE_ROWS}) v(o, rule, internal, severity, confidence, status, pattern, gating, generic))"
-_HITS = f"{_LINES}, {_RULES}, hits as (select * from lines join rules on regexp_matches(line, pattern) where length(line) <= 4000)"
+_HITS = f"{_LINES}, {_RULES}, hits as (select * from lines join rules on regexp_matches(line, pattern))"
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -106,30 +106,6 @@ def _fingerprints(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "documents").select("doc_id", "source", F.substring(F.sha1(X.collapsed(F.col("text")).cast("binary")), 1, 16).alias("fingerprint"))
 
 
-@query(f"with f as (select doc_id, source, {_FP} f from documents) select doc_id, source from f where source <> 'src0' and f not in (select f from f where source = 'src0')")
-def baseline_anti_join(s: SparkSession, d: str) -> DataFrame:
-    f = _fingerprints(s, d)
-    return f.where("source <> 'src0'").join(f.where("source = 'src0'").select("fingerprint"), "fingerprint", "left_anti").select("doc_id", "source")
-
-
-@query(f"with f as (select doc_id, source, {_FP} f from documents) select doc_id, source from f where source <> 'src0' and f in (select f from f where source = 'src0')")
-def baseline_semi_join(s: SparkSession, d: str) -> DataFrame:
-    f = _fingerprints(s, d)
-    return f.where("source <> 'src0'").join(f.where("source = 'src0'").select("fingerprint"), "fingerprint", "left_semi").select("doc_id", "source")
-
-
-@query("""select o_orderkey, case when o_orderstatus = 'P' then 'synthetic' when r.l_orderkey is not null then 'baseline' when a.l_orderkey is not null then 'new_in_covered'
-    when o_totalprice > 200000 then 'in_hunk' else 'untouched' end reason from orders
-    left join (select distinct l_orderkey from lineitem where l_returnflag = 'R' and l_quantity > 45) r on r.l_orderkey = o_orderkey
-    left join (select distinct l_orderkey from lineitem where l_linestatus = 'F' and l_discount > 0.08) a on a.l_orderkey = o_orderkey""")
-def delta_precedence(s: SparkSession, d: str) -> DataFrame:
-    o, li = t(s, d, "orders"), t(s, d, "lineitem")
-    hit = li.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("r")).distinct()
-    cov = li.where("l_linestatus = 'F' and l_discount > 0.08").select(F.col("l_orderkey").alias("a")).distinct()
-    reason = joins.first_precedence([(F.col("o_orderstatus") == "P", "synthetic"), (F.col("r").isNotNull(), "baseline"), (F.col("a").isNotNull(), "new_in_covered"), (F.col("o_totalprice") > 200000, "in_hunk")], "untouched")
-    return o.join(hit, F.col("o_orderkey") == F.col("r"), "left").join(cov, F.col("o_orderkey") == F.col("a"), "left").select("o_orderkey", reason.alias("reason"))
-
-
 _SPANS = "epoch(ts)::bigint"
 
 
@@ -171,11 +147,6 @@ def rule_mapping_fallback(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "part").select("p_partkey", to.alias("m")).select("p_partkey", "m.target", "m.origin")
 
 
-@query(f"select origin, count(*) n, string_agg(distinct target, ',' order by target) targets from ({_MAPPED}) group by origin")
-def mapping_report(s: SparkSession, d: str) -> DataFrame:
-    return rule_mapping_fallback(s, d).groupBy("origin").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))
-
-
 @query("""with e as (select event_type, case when event_type in ('view', 'click') then null else value / 10 end sc from events) select severity, count(*) n from (select
     case when sc >= 9 then 'critical' when sc >= 7 then 'high' when sc >= 4 then 'medium' when sc > 0 then 'low' when sc is not null then 'info' when event_type = 'click' then 'low' else 'medium' end severity from e) group by severity""")
 def severity_bands(s: SparkSession, d: str) -> DataFrame:
@@ -237,42 +208,6 @@ def rates_with_denominator(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "orders").groupBy("o_orderpriority").agg(*(c.alias(k) for k, c in r.items()))
 
 
-@query("""with c as (select user_id, count(*) filter (where event_type = 'error') fp, count(*) filter (where event_type = 'error' and value > 80) gate, count(*) filter (where event_type = 'signup') ep from events group by user_id)
-    select count(*) cases, sum(fp)::bigint fps, sum(gate)::bigint gate_relevant, count(*) filter (where fp = 0) clean, count(*) filter (where ep > 0) endpoint_cases,
-    coalesce(sum(fp) filter (where ep > 0), 0)::bigint endpoint_fps, sum(fp) / count(*) fp_per_case, count(*) filter (where fp = 0) / count(*) clean_rate from c""")
-def negative_metrics(s: SparkSession, d: str) -> DataFrame:
-    n = lambda c: F.count(F.when(c, 1))
-    c = t(s, d, "events").groupBy("user_id").agg(n(F.col("event_type") == "error").alias("fp"), n((F.col("event_type") == "error") & (F.col("value") > 80)).alias("gate"), n(F.col("event_type") == "signup").alias("ep"))
-    cases = F.count("*")
-    return c.agg(cases.alias("cases"), F.sum("fp").alias("fps"), F.sum("gate").alias("gate_relevant"), n(F.col("fp") == 0).alias("clean"), n(F.col("ep") > 0).alias("endpoint_cases"), F.coalesce(F.sum(F.when(F.col("ep") > 0, F.col("fp"))), F.lit(0)).alias("endpoint_fps"), F.try_divide(F.sum("fp"), cases).alias("fp_per_case"), F.try_divide(n(F.col("fp") == 0), cases).alias("clean_rate"))
-
-
-@query("""select case when value < 30 then 'low' when value < 70 then 'mid' else 'high' end stratum, count(*) n, count(*) filter (where event_type = 'error') errors,
-    count(*) filter (where event_type = 'error') / count(*) as "value" from events group by 1""")
-def endpoint_stratum(s: SparkSession, d: str) -> DataFrame:
-    e = t(s, d, "events").withColumn("stratum", F.when(F.col("value") < 30, "low").when(F.col("value") < 70, "mid").otherwise("high"))
-    errors = F.count(F.when(F.col("event_type") == "error", 1))
-    return e.groupBy("stratum").agg(F.count("*").alias("n"), errors.alias("errors"), F.try_divide(errors, F.count("*")).alias("value"))
-
-
-_PRED = "with p as (select l.doc_id, source, l.quality = 0 truth, d.text is not null and (regexp_matches(text, '[|%&$*#]') or n_chars < 200) hit from labels l join documents d using (doc_id))"
-
-
-@query(f"""{_PRED}, c as (select count(*) filter (where truth and hit) tp, count(*) filter (where not truth and hit) fp, count(*) filter (where truth and not hit) fn from p)
-    select tp, fp, fn, tp / nullif(tp + fp, 0) "precision", tp / nullif(tp + fn, 0) recall, 2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0) f1 from c""")
-def labelled_pr_metrics(s: SparkSession, d: str) -> DataFrame:
-    p = _predictions(s, d)
-    n = lambda c: F.count(F.when(c, 1))
-    c = p.agg(n(F.col("truth") & F.col("hit")).alias("tp"), n(~F.col("truth") & F.col("hit")).alias("fp"), n(F.col("truth") & ~F.col("hit")).alias("fn"))
-    c = c.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
-    return c.withColumn("f1", metrics.f1(F.col("precision"), F.col("recall")))
-
-
-def _predictions(s: SparkSession, d: str) -> DataFrame:
-    hit = F.col("text").isNotNull() & (F.col("text").rlike("[|%&$*#]") | (F.col("n_chars") < 200))
-    return t(s, d, "labels").join(t(s, d, "documents"), "doc_id").select("doc_id", "source", (F.col("quality") == 0).alias("truth"), hit.alias("hit"))
-
-
 @query("""with f as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_brand, p_size from lineitem join part on p_partkey = l_partkey where l_returnflag = 'R'),
     g as (select l_orderkey gk, l_partkey gp, l_suppkey gs, l_linenumber gl, p_brand gb, p_size gz from lineitem join part on p_partkey = l_partkey where l_returnflag <> 'R'),
     j as (select f.*, gp, case when gb = p_brand then 2 when substr(gb, 1, 7) = substr(p_brand, 1, 7) then 1 else 0 end * case when abs(gz - p_size) <= 10 then 2 else 1 end rk, gl, gs from f left join g on gk = l_orderkey),
@@ -287,15 +222,6 @@ def best_match_label(s: SparkSession, d: str) -> DataFrame:
     return best.select(*keys, "match_rank", F.when(F.col("match_rank") == 0, "fp").when(F.col("match_rank").isin(4, 2), "tp").otherwise("near_miss").alias("label"))
 
 
-@query(f"""{_PRED}, m as (select source, count(*) missed from p where truth and not hit group by source), h as (select source, count(*) hits from p where hit group by source)
-    select m.source, missed, coalesce(hits, 0) hits, case when hits > 0 then 'by_source' else 'none' end attribution from m left join h using (source)""")
-def attribution_of_misses(s: SparkSession, d: str) -> DataFrame:
-    p = _predictions(s, d)
-    m = p.where("truth and not hit").groupBy("source").agg(F.count("*").alias("missed"))
-    h = p.where("hit").groupBy("source").agg(F.count("*").alias("hits"))
-    return m.join(h, "source", "left").select("source", "missed", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") > 0, "by_source").otherwise("none").alias("attribution"))
-
-
 @query("""with x as (select conv_id, arg_max(length(text) % 3, turn) filter (where role = 'user') v, arg_max(length(text) % 2, turn) filter (where role = 'assistant') c from conversations group by conv_id)
     select case when v is null or c is null then 'unpaired' when v = 0 then 'missed' when c = 0 then 'clean' else 'also_flagged' end outcome, count(*) n from x group by 1""")
 def pair_outcomes(s: SparkSession, d: str) -> DataFrame:
@@ -305,13 +231,6 @@ def pair_outcomes(s: SparkSession, d: str) -> DataFrame:
     return every.groupBy(F.coalesce("outcome", F.lit("unpaired")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("""select strftime(ts, '%Y-%m-%d') "day", count(*) filter (where event_type = 'click') click, count(*) filter (where event_type = 'error') error, count(*) filter (where event_type = 'purchase') purchase,
-    count(*) filter (where event_type = 'signup') signup, count(*) filter (where event_type = 'view') "view" from events group by 1""")
-def status_tally(s: SparkSession, d: str) -> DataFrame:
-    e = t(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    return e.groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query("""with r as (select event_type, strftime(ts, '%Y-%m-%d') d, count(*) filter (where value > 50) / nullif(count(*), 0) v from events group by 1, 2)
     select event_type, count(v) passes, max(v) - min(v) spread from r group by 1 having count(v) >= 2""")
 def variance_spread(s: SparkSession, d: str) -> DataFrame:
@@ -349,42 +268,10 @@ def segment_match(s: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(term), F.lit(True)).select("p_partkey", X.segment_match(F.replace("p_name", F.lit(" "), F.lit("_")), F.col("term")).alias("hit"))
 
 
-@query("""select page_id, case when regexp_matches(url, '(?i)\\.html([?#]|$)') then 'html' when regexp_matches(url, '/en/') then 'english' else 'other' end kind, url like '%?%' has_query, regexp_matches(url, '://(www|m|blog)\\.') known_host from pages""")
-def lang_flags(s: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
-    kind = F.when(u.rlike(r"(?i)\.html([?#]|$)"), "html").when(F.contains(u, F.lit("/en/")), "english").otherwise("other")
-    return t(s, d, "pages").select("page_id", kind.alias("kind"), F.contains(u, F.lit("?")).alias("has_query"), u.rlike(r"://(www|m|blog)\.").alias("known_host"))
-
-
-@query("""select doc_id, len(list_filter(string_split(lower(text), chr(10))[1:10], lambda x: contains(x, 'the') or contains(x, 'und'))) > 0
-    and len(list_filter(string_split(lower(text), chr(10))[1:10], lambda x: contains(x, 'license') or contains(x, 'rights reserved'))) > 0 hit from documents""")
-def header_rule(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "documents").select("doc_id", scan.two_signals(F.col("text"), ("the", "und"), ("license", "rights reserved"), (), 10).alias("hit"))
-
-
-@query(f"with {_LINES} select doc_id, count(*) n, count(*) filter (where not regexp_matches(line, '[.]$')) inert, bool_and(not regexp_matches(line, '[.]$')) all_inert from lines group by doc_id")
-def inert_lines(s: SparkSession, d: str) -> DataFrame:
-    open_ = ~F.col("line").rlike("[.]$")
-    return doc_lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(open_, 1)).alias("inert"), F.every(open_).alias("all_inert"))
-
-
-@query(f"with {_LINES} select doc_id, count(*) n from lines where regexp_matches(trim(line), '^(The|In|Of|Der|La|De|Le)\\b') group by doc_id")
-def control_flow_lines(s: SparkSession, d: str) -> DataFrame:
-    return doc_lines(s, d).where(X.strip(F.col("line")).rlike("^(The|In|Of|Der|La|De|Le)([^a-zA-Z]|$)")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-@query("""select case when n_chars < 100 then 'short' when regexp_matches(text, '[|%&]{1}') and not regexp_matches(text, '(?i)copyright|license') then 'markup' when lang = 'es' then 'language' else 'kept' end reason,
-    regexp_matches(text, '(?i)copyright|license') guarded, count(*) n from documents group by 1, 2""")
-def tier_filter_audit(s: SparkSession, d: str) -> DataFrame:
-    guarded = F.col("text").rlike("(?i)copyright|license")
-    reason = joins.first_precedence([(F.col("n_chars") < 100, "short"), (F.col("text").rlike("[|%&]{1}") & ~guarded, "markup"), (F.col("lang") == "es", "language")], "kept")
-    return t(s, d, "documents").select(reason.alias("reason"), guarded.alias("guarded")).groupBy("reason", "guarded").agg(F.count("*").alias("n"))
-
-
 _EDGES = "select distinct n_nationkey::bigint src, (n_nationkey * 7 + k) % 25 dst from nation, (values (1), (3)) v(k)"
 
 
-@query(f"""with recursive e as ({_EDGES}), r as (select n_nationkey::bigint "start", n_nationkey::bigint node, 0 distance from nation where n_nationkey < 5
+@query(f"""with recursive e as ({_EDGES}), r as (select n_nationkey::bigint "start", n_nationkey::bigint node, 0 distance from nation
     union all select "start", dst, distance + 1 from r join e on e.src = r.node where distance < 4) select "start", node, min(distance)::int distance from r group by 1, 2""")
 def bounded_bfs(s: SparkSession, d: str) -> DataFrame:
     n = t(s, d, "nation").select(long("n_nationkey").alias("n"))
@@ -392,7 +279,7 @@ def bounded_bfs(s: SparkSession, d: str) -> DataFrame:
     return graph.bounded_bfs(edges, n.select(F.col("n").alias("node")), 4)
 
 
-@query("""with recursive e as (select distinct o_custkey % 997 src, (o_custkey * 31 + o_orderkey) % 997 dst from orders where o_orderkey % 3 = 0), r as (select 1::bigint node union select dst from r join e on e.src = r.node) select node from r""")
+@query("""with recursive e as (select distinct o_custkey src, (o_custkey * 31 + o_orderkey) % (select count(*) from customer) dst from orders), r as (select 1::bigint node union select dst from r join e on e.src = r.node) select node from r""")
 def reachability(s: SparkSession, d: str) -> DataFrame:
     # an edge for every order between customers, whose keys run from 0
     customers = t(s, d, "customer").agg(F.count("*").alias("n"))
@@ -438,16 +325,6 @@ def gate_verdict(s: SparkSession, d: str) -> DataFrame:
     return fi.verdicts(e, f)
 
 
-@query("""select event_id, json_extract_string(props, '$.k')::bigint k from events""")
-def json_extract_rows(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query("""select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) link from pages""")
-def html_flatten(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("link"))
-
-
 @query("select conv_id, case when count(distinct role) = 1 then max(role) end only_role, case when min(length(text)) = max(length(text)) then max(length(text)) end only_length from conversations group by conv_id")
 def unique_or_null(s: SparkSession, d: str) -> DataFrame:
     c = t(s, d, "conversations").withColumn("n", F.length("text").cast("long"))
