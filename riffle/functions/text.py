@@ -114,3 +114,10 @@ def html_escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
+
+
+def iso_date(text: Column) -> Column:
+    """The day of an ISO date or time stamp, in UTC where it has an offset; null for anything else."""
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    stamp = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("date"))
+    return F.coalesce(day, stamp)

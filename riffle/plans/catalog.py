@@ -50,8 +50,14 @@ _RULES = f"rules as (select * from (values {_RULE_ROWS}) v(o, rule, internal, se
 _HITS = f"{_LINES}, {_RULES}, hits as (select * from lines join rules on regexp_matches(line, pattern))"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if a small file gives fewer (one row group is one task); larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    return scan.lines_of(t(spark, d, "documents"), "text", "doc_id", "source")
+    return scan.lines_of(spread(t(spark, d, "documents").select("doc_id", "source", "text")), "text", "doc_id", "source")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

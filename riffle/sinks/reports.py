@@ -47,7 +47,7 @@ def markdown(findings: DataFrame) -> DataFrame:
 
 def comparison_rows(measures: DataFrame) -> DataFrame:
     """arm, html: a table row for each arm with its measures as value (num/den), all text escaped."""
-    cell = F.concat(F.lit("<td>"), X.html_escaped(F.concat_ws(" ", F.coalesce(F.format_string("%.3f", "value"), F.lit("n/a")), F.format_string("(%d/%d)", "num", "den"))), F.lit("</td>"))
+    cell = F.concat(F.lit("<td>"), X.html_escaped(F.concat_ws(" ", F.when(F.col("value").isNotNull(), F.format_string("%.3f", "value")).otherwise("n/a"), F.format_string("(%d/%d)", "num", "den"))), F.lit("</td>"))
     cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure", cell.alias("c")))), lambda x: x["c"]), "")
     return measures.groupBy("arm").agg(cells.alias("cells")).select("arm", F.concat(F.lit("<tr><th>"), X.html_escaped(F.col("arm")), F.lit("</th>"), "cells", F.lit("</tr>")).alias("html"))
 
@@ -55,3 +55,18 @@ def comparison_rows(measures: DataFrame) -> DataFrame:
 def write_artifact(df: DataFrame, root: str, name: str, overwrite: bool = False) -> None:
     """A run artifact, partitioned by run_id; refuses to replace one unless told to."""
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("run_id").parquet(f"{root}/{name}")
+
+
+#: Artifacts of a run, each a table partitioned by run_id.
+ARTIFACTS = ("manifest", "dep_deltas", "changeset", "groups", "bundles", "findings", "detectors", "rejected")
+
+
+def write_run(result: object, root: str, telemetry: DataFrame | None = None, profile_ref: DataFrame | None = None) -> None:
+    """All artifacts of a review below a folder, with SARIF and Markdown, telemetry and the profile (run_id, repo, version) that it used."""
+    for name in ARTIFACTS:
+        write_artifact(getattr(result, name), root, name)
+    write_artifact(sarif(result.findings), root, "sarif")
+    write_artifact(markdown(result.findings), root, "markdown")
+    for name, table in (("telemetry", telemetry), ("profile_ref", profile_ref)):
+        if table is not None:
+            write_artifact(table, root, name)

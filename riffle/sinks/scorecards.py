@@ -16,7 +16,7 @@ def counts_table(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
 
 def rendered(measures: DataFrame) -> DataFrame:
     """measures (…, num, den, value) with text: value (num/den), or n/a (num/den); a ratio is never shown without its denominator."""
-    value = F.coalesce(F.format_string("%.3f", "value"), F.lit("n/a"))
+    value = F.when(F.col("value").isNotNull(), F.format_string("%.3f", "value")).otherwise("n/a")  # a null would be written as text
     return measures.withColumn("text", F.concat(value, F.lit(" ("), F.col("num").cast("string"), F.lit("/"), F.col("den").cast("string"), F.lit(")")))
 
 
