@@ -40,12 +40,10 @@ def smallest_container(points: DataFrame, spans: DataFrame, key: str, at: str, o
     levels = sorted(r[0] for r in s.select("__l").distinct().collect())
     bin_of = lambda c, lv: F.expr(f"cast(floor({c} / shiftleft(1L, {lv})) as bigint)")
     near = s.withColumn("__b", F.explode(F.sequence(bin_of("start", "__l"), bin_of("end", "__l"))))
-    asked = points.select(key, at).distinct().withColumn("__pl", F.explode(F.array(*[F.lit(x) for x in levels] or [F.lit(None).cast("int")])))
-    asked = asked.withColumn("__pb", bin_of(f"`{at}`", "__pl"))
-    hit = asked.join(near, (F.col(key) == F.col("__k")) & (F.col("__pl") == F.col("__l")) & (F.col("__pb") == F.col("__b")) & F.col(at).between(F.col("start"), F.col("end")))
-    best = hit.groupBy(key, at).agg(F.min("__c").alias("__c"))
-    out = points.distinct().join(best, [key, at], "left")
-    return out.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
+    asked = points.withColumn("__pl", F.explode(F.array(*[F.lit(x) for x in levels] or [F.lit(None).cast("int")]))).withColumn("__pb", bin_of(f"`{at}`", "__pl"))
+    on = (F.col(key) == F.col("__k")) & (F.col("__pl") == F.col("__l")) & (F.col("__pb") == F.col("__b")) & F.col(at).between(F.col("start"), F.col("end"))
+    best = asked.join(near, on, "left").groupBy(*points.columns).agg(F.min("__c").alias("__c"))
+    return best.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
 
 
 def first_container(points: DataFrame, spans: DataFrame, key: str, at: str, order: str, keep: Sequence[str]) -> DataFrame:
