@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, how: str = "left_semi", bin_size: int | None = None) -> DataFrame:
-    """Rows of left (key, start, end) whose closed interval meets one of right's with the same key.
+    """Rows of left (key, start, end) whose closed interval meets one of right's with the same key; or, left_anti, meets none.
 
-    The key is the equi part of the join. With bin_size, intervals are also cut into bins, so that one key with very many
-    intervals on both sides meets by (key, bin); semi and anti joins only, as bins can meet more than once.
+    Intervals are cut into bins and meet by (key, bin), so that one key with very many intervals on both sides is many small
+    groups. Without bin_size, bins are twice as long as the intervals are on average, and such that none has more than 64.
+    An interval with a null, or that ends before it starts, meets none.
     """
-    r = right.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    if bin_size is None:
-        return left.join(r, (F.col(key) == F.col("__k")) & (F.col("__s") <= F.col("end")) & (F.col("start") <= F.col("__e")), how)
     if how not in ("left_semi", "left_anti"):
-        raise ValueError("bins are for semi and anti joins")
+        raise ValueError("for semi and anti joins only")
+    r = right.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e")).where("__s <= __e")
+    if bin_size is None:
+        size = left.where("start <= end").select((F.col("end") - F.col("start")).alias("n")).union(r.select(F.col("__e") - F.col("__s")))
+        mean, most = size.agg(F.avg("n"), F.max("n")).first()
+        bin_size = max(1, int(2 * (mean or 0)), -(-int(most or 0) // 63))
     bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.col(e) / bin_size)))
     ids = [key, "start", "end"]
     spans = left.select(*ids).where("start <= end").distinct().withColumn("__b", bins("start", "end"))
-    rb = r.where("__s <= __e").withColumn("__rb", bins("__s", "__e"))
+    rb = r.withColumn("__rb", bins("__s", "__e"))
     hit = spans.join(rb, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__rb")) & (F.col("__s") <= F.col("end")) & (F.col("start") <= F.col("__e")), "left_semi").select(*ids).distinct()
     return left.join(hit, ids, how)
 
