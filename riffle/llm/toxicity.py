@@ -223,7 +223,7 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
     return ToxicityModel(emb, w, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 1000, most_bytes: int = 6 << 20) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 1500, most_bytes: int = 8 << 20) -> ToxicityModel:
     """Train on at most per_class whole texts and most_bytes bytes of either label, outside the held-out fold."""
     return train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, most_bytes))
 

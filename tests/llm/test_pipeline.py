@@ -77,7 +77,7 @@ def test_stages_and_run_against_a_plain_version(spark, folder):
         return out
 
     # toxicity: each text by itself
-    model = toxicity.train(common.labelled_sample(docs, labels, "toxic", 5, 0, 1000, 6 << 20))
+    model = toxicity.train(common.labelled_sample(docs, labels, "toxic", 5, 0, 1500, 8 << 20))
     clean = kept_by("toxicity", docs)
     want = [r for r in docs.collect() if toxicity.score([(r.text or "").encode()], *model.table())[0] < 0.5]
     assert sorted(clean.collect(), key=key) == sorted(want, key=key) and 200 < len(want) < docs.count() - 30
