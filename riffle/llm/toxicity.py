@@ -161,7 +161,10 @@ def score(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3, seed: int = 5) -> ToxicityModel:
-    """Embeddings start from each n-gram's smoothed log-odds over documents; then both layers follow each document's highest passage."""
+    """Embeddings start from each n-gram's smoothed log-odds over documents; then both layers follow each document's highest passage.
+
+    A document's n-grams are made anew whenever it is looked at: kept, they would take twelve times the room of the texts.
+    """
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     emb = (rng.standard_normal((size, DIM)) * 0.01).astype(np.float32)
@@ -173,11 +176,8 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
         bias[1] = np.log((share + 0.01) / (1.01 - share))
         return ToxicityModel(emb * 0, w, bias)
     with_it = np.zeros((2, size), dtype=np.int32)
-    features = []
     for t, y in docs:
-        buckets, starts, counts, owner = ngram_buckets([t])
-        features.append((buckets, starts, counts, passages(starts, owner), y))
-        with_it[y, np.unique(np.concatenate(buckets))] += 1
+        with_it[y, np.unique(np.concatenate(ngram_buckets([t])[0]))] += 1
     n = [max(1, sum(y == k for _, y in docs)) for k in (0, 1)]
     odds = np.log((with_it[1] + 0.5) / (n[1] + 1)) - np.log((with_it[0] + 0.5) / (n[0] + 1))
     seen = with_it.sum(axis=0) > 1
@@ -185,7 +185,7 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
     w[0] = -1, 1
     bias[:] = 0.5, -0.5
     sq_emb, sq_w, sq_b = np.full((size, DIM), 1e-3, np.float32), np.full((DIM, 2), 1e-2), np.full(2, 1e-2)
-    order = np.arange(len(features))
+    order = np.arange(len(docs))
     for epoch in range(epochs):
         rng.shuffle(order)
         for at in range(0, len(order), 48):
@@ -195,7 +195,9 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
             rows, grads, gw, gb = [], [], np.zeros((DIM, 2)), np.zeros(2)
             some = order[at : at + 48]
             for i in some:
-                buckets, starts, counts, ends, y = features[i]
+                said, y = docs[i]
+                buckets, starts, counts, owner = ngram_buckets([said])
+                ends = passages(starts, owner)
                 z = passage_scores(table, buckets, starts, counts, ends)
                 top = int(z.argmax())
                 lo, hi = starts[top] - 1, (starts[ends[top]] - 1 if ends[top] < len(starts) else len(buckets[0]))
@@ -204,7 +206,7 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 10, rate: float = 0.3,
                 if not len(ids):
                     continue
                 p = 1 / (1 + np.exp(-np.clip(z[top] + bias[1] - bias[0], -50, 50)))
-                err = (p - y) * (0.5 / n[y] * len(features))
+                err = (p - y) * (0.5 / n[y] * len(docs))
                 mean = emb[ids].mean(axis=0)
                 gw += np.outer(mean, [-err, err])
                 gb += -err, err
