@@ -50,11 +50,32 @@ def smallest_container(points: DataFrame, spans: DataFrame, key: str, at: str, o
 
 
 def first_container(points: DataFrame, spans: DataFrame, key: str, at: str, order: str, keep: Sequence[str]) -> DataFrame:
-    """points with the columns `keep` of the first span (by `order`) of the same key that holds `at`, whatever its size; nulls if none."""
-    s = spans.select(F.col(key).alias("__k"), "start", "end", F.struct(F.col(order).alias("o"), *keep).alias("__c"))
-    on = (F.col(key) == F.col("__k")) & F.col(at).between(F.col("start"), F.col("end"))
-    best = points.join(s, on, "left").groupBy(*points.columns).agg(F.min("__c").alias("__c"))
-    return best.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
+    """points with the columns `keep` of the first span (by `order`) of the same key that holds `at`, whatever its size; nulls if none.
+
+    Places are whole numbers; equal points share a result. A span is cut into aligned blocks of 2 ** level places, two of a level
+    at most, and a block keeps its first span; a point lies in one block of each level. So a point meets one row for each
+    level, however many spans of a popular key hold it. The length of the longest span is collected.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if any(dict(df.dtypes)[c] not in whole for df, c in ((points, at), (spans, "start"), (spans, "end"))):
+        raise ValueError("places have to be whole numbers")
+    s = spans.where("start <= end").select(F.col(key).alias("__k"), F.col("start").cast("long").alias("__s"), F.col("end").cast("long").alias("__e"), F.struct(F.col(order).alias("o"), *keep).alias("__c"))
+    levels = range(int(s.agg(F.max(F.col("__e") - F.col("__s") + 1)).first()[0] or 1).bit_length())
+
+    def blocks(level: int) -> list[Column]:
+        """Of the whole blocks of this level in the span: the first if it is a right half, the last if it is a left half; else the next level has them."""
+        rest = F.lit((1 << level) - 1).cast("long")
+        first = F.shiftright("__s", level) + F.when(F.col("__s").bitwiseAND(rest) == 0, 0).otherwise(1)
+        last = F.shiftright("__e", level) - F.when(F.col("__e").bitwiseAND(rest) == rest, 0).otherwise(1)
+        return [F.when((first <= last) & (b.bitwiseAND(F.lit(1)) == odd), F.struct(F.lit(level).alias("l"), b.alias("b"))) for b, odd in ((first, 1), (last, 0))]
+
+    cut = s.select("__k", "__c", F.explode(F.array_compact(F.array(*[b for level in levels for b in blocks(level)]))).alias("__b"))
+    firsts = cut.groupBy("__k", "__b").agg(F.min("__c").alias("__c"))
+    held = F.array(*[F.struct(F.lit(level).alias("l"), F.shiftright(F.col("__at").cast("long"), level).alias("b")) for level in levels])
+    asked = points.select(F.col(key).alias("__k"), F.col(at).alias("__at")).distinct().withColumn("__b", F.explode(held))
+    best = asked.join(firsts, ["__k", "__b"]).groupBy("__k", "__at").agg(F.min("__c").alias("__c"))
+    out = points.distinct().join(best, (F.col(key) == F.col("__k")) & (F.col(at) == F.col("__at")), "left")
+    return out.select(*points.columns, *(F.col(f"__c.{c}").alias(c) for c in keep))
 
 
 def meeting(ranges: DataFrame, spans: DataFrame, key: str, name: str) -> DataFrame:

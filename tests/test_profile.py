@@ -204,6 +204,19 @@ def test_review_over_trees(spark):
     assert {c.path: c.reason for c in r.changeset.where("run_id = 'two'").collect()} == {"x/app.py": "kept", "poetry.lock": "lockfile_captured"}
 
 
+def _most_joined(df) -> int:
+    """The most rows that a join of df's plan made."""
+    def joins_of(p):
+        name = p.nodeName()
+        kids = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        own = [p.metrics().apply("numOutputRows").value()] if "Join" in name and p.metrics().contains("numOutputRows") else []
+        return own + [n for k in kids for n in joins_of(k)]
+
+    plan = df._jdf.queryExecution()
+    plan.executedPlan().executeCollect()
+    return max(joins_of(plan.executedPlan()), default=0)
+
+
 def test_container_variants(spark):
     spans = spark.createDataFrame([("k", 1, 100, 1, "big"), ("k", 10, 20, 2, "small"), ("k", 10, 20, 3, "same"), ("q", 5, 5, 4, "one")], "key string, start int, end int, o int, name string")
     points = spark.createDataFrame([("k", 15), ("k", 15), ("k", 50), ("k", 200), ("q", 5), ("n", 1)], "key string, at int")
@@ -213,6 +226,21 @@ def test_container_variants(spark):
     assert joins.meeting(ranges, spans, "key", "name").first().name == ["big", "same", "small"]
 
 
+def test_first_container_meets_a_row_for_each_level(spark):
+    rows = [("k", (i * 37) % 90 - 45, (i * 37) % 90 - 45 + (i * i) % 41 - 1, i, f"s{i}") for i in range(300)] + [("k", None, 3, -1, "none"), ("big", -(1 << 40), 1 << 40, 1, "long"), (None, 0, 9, -2, "no key")]
+    spans = spark.createDataFrame(rows, "key string, start long, end long, o int, name string")
+    points = [(k, p) for k in ("k", "big", None) for p in [*range(-60, 90), None]]
+    got = {(r.key, r["at"]): r.name for r in joins.first_container(spark.createDataFrame(points, "key string, at int"), spans, "key", "at", "o", ["name"]).collect()}
+    plain = {(k, p): min(((o, n) for key, a, b, o, n in rows if None not in (k, p, a) and key == k and a <= p <= b), default=(0, None))[1] for k, p in points}
+    assert got == plain
+    # many spans that hold many points: the join makes no row for each pair
+    many = spark.range(3000).select(F.lit("k").alias("key"), (F.col("id") % 50).alias("start"), (F.col("id") % 50 + F.col("id") % 30).alias("end"), F.col("id").alias("o"), F.col("id").alias("name"))
+    asked = spark.range(3000).select("id", F.lit("k").alias("key"), (F.col("id") % 9 * 4).alias("at"))
+    out = joins.first_container(asked, many, "key", "at", "o", ["name"])
+    assert out.count() == 3000
+    assert _most_joined(out) <= 3000
+
+
 def test_back_references_and_exclusions(spark):
     rows = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("r", 3, "a"), ("s", 1, "a")], "run string, n int, body string")
     assert {(r.run, r.n): r.same_as for r in joins.back_references(rows, ["run"], "body", "n").collect()} == {("r", 1): None, ("r", 2): None, ("r", 3): 1, ("s", 1): None}
