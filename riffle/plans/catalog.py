@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riffle.functions import tables as T
@@ -115,6 +115,11 @@ def _fingerprints(s: SparkSession, d: str) -> DataFrame:
 _SPANS = "epoch(ts)::bigint"
 
 
+def _second() -> Column:
+    """The nearest second of ts, halves to the even one, as the SQL's cast has it."""
+    return F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+
+
 @query(f"""with e as (select event_id, user_id, event_type, {_SPANS} a, {_SPANS} + 3600 b from events)
     select event_id, user_id from e where event_type = 'view' and exists (select 1 from e p where p.event_type = 'purchase' and p.user_id = e.user_id and p.a <= e.b and e.a <= p.b)""")
 def interval_overlap(s: SparkSession, d: str) -> DataFrame:
@@ -126,7 +131,7 @@ def interval_overlap(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with e as (select event_id, user_id, event_type, {_SPANS} a, {_SPANS} + 3600 b from events)
     select event_id, user_id from e where event_type = 'click' and not exists (select 1 from e p where p.event_type = 'error' and p.user_id = e.user_id and p.a <= e.b and e.a <= p.b)""")
 def interval_anti_binned(s: SparkSession, d: str) -> DataFrame:
-    start = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    start = _second()
     e = t(s, d, "events").select("event_id", "user_id", "event_type", start.alias("start"), (start + 3600).alias("end"))
     return joins.overlapping(e.where("event_type = 'click'"), e.where("event_type = 'error'"), "user_id", "left_anti", bin_size=86400).select("event_id", "user_id")
 

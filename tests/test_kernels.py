@@ -153,3 +153,24 @@ def test_overlap_bins_agree_with_the_plain_join(spark):
     right = spark.createDataFrame([("k", 10, 12), ("k", 41, 41), ("z", 0, 99)], "k string, start int, end int")
     for how in ("left_semi", "left_anti"):
         assert sorted(overlapping(left, right, "k", how).collect()) == sorted(overlapping(left, right, "k", how, bin_size=7).collect())
+
+
+def _against_sql(spark, folder, name, events):
+    """Rows of a query and of its SQL over the events (event_id, second, user_id, event_type)."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+
+    spark.createDataFrame(events, "event_id long, at double, user_id long, event_type string").selectExpr("event_id", "cast(timestamp_micros(cast(at * 1e6 as long)) as timestamp_ntz) ts", "user_id", "event_type").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as from '{folder}/events.parquet/*.parquet'")
+    return sorted(map(tuple, queries()[name](spark, str(folder)).collect())), sorted(con.sql(oracle_sql()[name]).fetchall())
+
+
+#: Starts in pairs: one that meets only after rounding, one that does so only when cut off, halves, and some plain ones.
+SECONDS = ((0.4, 3600.4), (0.6, 3601.4), (0.4, 3600.6), (10.5, 3611.5), (11.5, 3612.5), (0.0, 3602.0))
+
+
+def test_interval_anti_binned_rounds_seconds(spark, tmp_path):
+    rows = [(10 * i + k, 1704067200 + s, i, kind) for i, pair in enumerate(SECONDS) for k, (s, kind) in enumerate(zip(pair, ("click", "error"), strict=True))]
+    got, want = _against_sql(spark, tmp_path, "interval_anti_binned", rows)
+    assert got == want and 0 < len(got) < len(SECONDS)
