@@ -123,7 +123,7 @@ def _second() -> Column:
 @query(f"""with e as (select event_id, user_id, event_type, {_SPANS} a, {_SPANS} + 3600 b from events)
     select event_id, user_id from e where event_type = 'view' and exists (select 1 from e p where p.event_type = 'purchase' and p.user_id = e.user_id and p.a <= e.b and e.a <= p.b)""")
 def interval_overlap(s: SparkSession, d: str) -> DataFrame:
-    start = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    start = _second()
     e = t(s, d, "events").select("event_id", "user_id", "event_type", start.alias("start"), (start + 3600).alias("end"))
     return joins.overlapping(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id").select("event_id", "user_id")
 

@@ -174,3 +174,9 @@ def test_interval_anti_binned_rounds_seconds(spark, tmp_path):
     rows = [(10 * i + k, 1704067200 + s, i, kind) for i, pair in enumerate(SECONDS) for k, (s, kind) in enumerate(zip(pair, ("click", "error"), strict=True))]
     got, want = _against_sql(spark, tmp_path, "interval_anti_binned", rows)
     assert got == want and 0 < len(got) < len(SECONDS)
+
+
+def test_interval_overlap_rounds_seconds(spark, tmp_path):
+    rows = [(10 * i + k, 1704067200 + s, i, kind) for i, pair in enumerate(SECONDS) for k, (s, kind) in enumerate(zip(pair, ("view", "purchase"), strict=True))]
+    got, want = _against_sql(spark, tmp_path, "interval_overlap", rows)
+    assert got == want and 0 < len(got) < len(SECONDS)
