@@ -290,7 +290,7 @@ _FORMAT_ROWS = ", ".join(f"('{p}', '{_PREFIX.get(p, '')}', '{'v' if p in _GO els
 @query(f"""with f as (select * from (values {_FORMAT_ROWS}) v(path, pre, v)) select path, pre || 'pkg' || p_partkey as "name", case when p_size % 3 = 0 then 'added' when p_size % 3 = 1 then 'removed' else 'changed' end kind,
     case when p_size % 3 <> 0 then v || p_size || '.0' end "old", case when p_size % 3 <> 1 then v || p_size || '.1' end "new" from part, f""")
 def dependency_formats(s: SparkSession, d: str) -> DataFrame:
-    """Every part as a package that is added, removed or changed, in each of the formats."""
+    """Every part as a package that is added, removed or changed, in each of the formats: a diff for each thousand part numbers and format."""
     def lines(path: str, sign: str, minor: str, there: Column) -> Column:
         rows = [F.concat(F.lit(sign), *(F.lit(x) if x else F.col("n") if k == 1 else F.concat(F.col("p_size").cast("string"), F.lit(minor)) for k, x in _pieces(template))) for template in _FORMATS[path]]
         return F.when(there, F.concat_ws("\n", *rows))
@@ -311,9 +311,9 @@ def dependency_formats(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 3
     files = F.array(*[F.struct(F.lit(path).alias("path"), F.concat_ws("\n", lines(path, "-", ".0", k != 0), lines(path, "+", ".1", k != 1)).alias("body")) for path in _FORMATS])
     each = p.select("p_partkey", F.explode(files).alias("f")).select("p_partkey", "f.*")
-    one = each.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "body"))), lambda x: x["body"]), "\n").alias("body"))
+    one = each.groupBy("path", F.floor(F.col("p_partkey") / 1000).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "body"))), lambda x: x["body"]), "\n").alias("body"))
     text = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n@@ -1 +1 @@\n"), "body")
-    got = deps.dep_deltas(diff.read_diffs(one.select(F.col("path").alias("run_id"), text.alias("text"))).lines)
+    got = deps.dep_deltas(diff.read_diffs(one.select(F.concat_ws(":", "path", F.col("block").cast("string")).alias("run_id"), text.alias("text"))).lines)
     return got.select("path", "name", "kind", "old", "new")
 
 

@@ -60,24 +60,28 @@ def read_diffs(diffs: DataFrame, key: str = "run_id", text: str = "text") -> Dif
         F.max(line.rlike("^Binary files|^GIT binary patch")).alias("binary"),
     )
     real = lambda c: F.when(F.col(c) != "/dev/null", F.col(c))
+    path = F.coalesce("b", real("plus"), real("minus"), "a", F.lit("UNKNOWN"))
     files = files.select(
         key,
         "file_no",
-        F.coalesce("b", real("plus"), real("minus"), "a", F.lit("UNKNOWN")).alias("path"),
+        path.alias("path"),
         "previous_path",
         F.when(F.col("plus") == "/dev/null", "deleted").when(F.col("minus") == "/dev/null", "added").otherwise(F.coalesce("c", F.lit("modified"))).alias("change"),
         "binary",
     )
-    alive = every.where("hunk_no > 0 and not dead")
+    # a line has its file's path and its hunk's starts from the running windows: a join could broadcast the lines
+    said = lambda value: F.last(F.when(F.col("seen_at") == 0, value), ignorenulls=True).over(so_far)
+    known = every.withColumns({"a": said(F.when(F.col("is_file"), named(1))), "b": said(F.when(F.col("is_file"), named(2))), "minus": said(_stripped(after("--- "))), "plus": said(_stripped(after("+++ ")))})
+    alive = known.where("hunk_no > 0 and not dead").withColumn("path", path)
     number = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(line, HUNK, i), F.lit("")).cast("int"), F.lit(default))
-    starts = alive.where("is_at").where(line.rlike(HUNK)).select(key, "file_no", "hunk_no", number(1, 0).alias("old_start"), number(2, 1).alias("old_len"), number(3, 0).alias("new_start"), number(4, 1).alias("new_len"), X.strip(F.regexp_extract(line, HUNK, 5)).alias("header"))
-    hunks = starts.join(files.select(key, "file_no", "path"), [key, "file_no"])
+    hunks = alive.where("is_at").where(line.rlike(HUNK)).select(key, "file_no", "hunk_no", number(1, 0).alias("old_start"), number(2, 1).alias("old_len"), number(3, 0).alias("new_start"), number(4, 1).alias("new_len"), X.strip(F.regexp_extract(line, HUNK, 5)).alias("header"), "path")
     tag = F.when(F.substring(line, 1, 1).isin("+", "-"), F.substring(line, 1, 1)).otherwise(" ")
-    body = alive.where(~F.col("is_at") & ~F.startswith(line, F.lit("\\"))).withColumn("tag", tag)
-    before = Window.partitionBy(key, "file_no", "hunk_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    counted = body.withColumns({"o": F.count(F.when(F.col("tag") != "+", 1)).over(before), "n": F.count(F.when(F.col("tag") != "-", 1)).over(before)})
-    numbered = counted.join(hunks.select(key, "file_no", "hunk_no", "path", "old_start", "new_start"), [key, "file_no", "hunk_no"])
-    lines = numbered.select(
+    body = alive.withColumn("tag", F.when(~F.col("is_at") & ~F.startswith(line, F.lit("\\")), tag))
+    in_hunk = Window.partitionBy(key, "file_no", "hunk_no").orderBy("at")
+    before, first = in_hunk.rowsBetween(Window.unboundedPreceding, -1), in_hunk.rowsBetween(Window.unboundedPreceding, 0)
+    start = lambda i: F.first(F.when(F.col("is_at") & line.rlike(HUNK), number(i, 0))).over(first)
+    counted = body.withColumns({"o": F.count(F.when(F.col("tag") != "+", 1)).over(before), "n": F.count(F.when(F.col("tag") != "-", 1)).over(before), "old_start": start(1), "new_start": start(3)})
+    lines = counted.where("tag is not null").select(
         key, "path", "file_no", "hunk_no", F.col("at").alias("seq"), "tag",
         F.when(F.col("tag") != "+", F.col("old_start") + F.col("o")).cast("int").alias("old_ln"),
         F.when(F.col("tag") != "-", F.col("new_start") + F.col("n")).cast("int").alias("new_ln"),

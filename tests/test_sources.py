@@ -143,3 +143,11 @@ def test_replies(spark):
     rows = reports.read_replies(spark.createDataFrame([("c", text), ("d", "nothing")], "case_id string, text string")).orderBy("case_id", "ordinal").collect()
     assert [(r.note, r.cwe) for r in rows[:2]] == [(None, "CWE-89"), ("no file", "")]
     assert rows[2].note == "no findings"
+
+
+def test_lines_of_a_diff_are_numbered_without_a_join(spark):
+    d = parsed(spark)
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (d.lines, d.hunks))
+    two = "diff --git a/x b/x\nrename from x\n@@ -5 +7 @@\n-a\n\\ no newline\n+b\n@@ -20 +30 @@\n c\ndiff --git a/q b/q\n@@ -1 +1 @@\n+e\n"
+    got = [(r.path, r.hunk_no, r.tag, r.old_ln, r.new_ln, r.text) for r in diff.read_diffs(spark.createDataFrame([("r", two)], "run_id string, text string")).lines.orderBy("seq").collect()]
+    assert got == [("x", 1, "-", 5, None, "a"), ("x", 1, "+", None, 7, "b"), ("x", 2, " ", 20, 30, "c"), ("q", 1, "+", None, 1, "e")]
