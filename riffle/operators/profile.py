@@ -134,6 +134,7 @@ def build_graph(facts: DataFrame, catalog: C.Catalog = C.PYTHON, most_hops: int
     node = lambda df, kind, i, file, name, line, detail=None, pattern=None: df.select(i.alias("id"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), file.alias("file"), name.alias("name"), line.cast("int").alias("line"), (_none() if detail is None else detail).alias("detail"), (_none() if pattern is None else pattern).alias("pattern"))
     edge = lambda df, a, b, relation: df.select(a.alias("src"), b.alias("dst"), F.lit(relation).alias("relation"))
     path, sym = F.col("path"), lambda c: F.concat(F.lit("sym:"), c)
+    facts, _ = materialize(facts, "facts")  # every layer below reads them: sources are parsed once
     parsed = facts.where("kind <> 'error'").select("path").distinct()
     functions = facts.where("kind = 'function'")
     # layers that are used several times are written, so that they are made once and plans stay small

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.operators import change, detect, evaluate, findings, gate, joins, metrics, profile, scan
-from riffle.plans.catalog import _FP, _fingerprints, long, query, t
+from riffle.plans.catalog import _FP, _fingerprints, long, query, spread, t
 from riffle.sources import deps, diff, python_code, reports
 
 
@@ -349,7 +349,7 @@ def _code(s: SparkSession, d: str) -> DataFrame:
     guard = by_remainder(k, "@login_required\n", "", "@login_required\n@login_exempt\n")
     clean = F.when(k % 5 == 0, "    c = shlex.quote(c)\n").otherwise("")
     text = F.concat(F.lit("from flask import request\n@app.route('/s"), k, F.lit("')\n"), guard, F.lit("def view():\n    return helper(request.args['q'])\ndef helper(c):\n"), clean, F.lit("    os.system(c)\n    api_token = 1\n"))
-    return t(s, d, "supplier").select(F.concat(F.lit("d"), k, F.lit("/app.py")).alias("path"), text.alias("text"))
+    return spread(t(s, d, "supplier").select("s_suppkey")).select(F.concat(F.lit("d"), k, F.lit("/app.py")).alias("path"), text.alias("text"))
 
 
 @query("""select 'd' || s_suppkey || '/app.py' path, '/s' || s_suppkey route, s_suppkey % 3 = 0 guarded, s_suppkey % 3 = 2 opens_access, case when s_suppkey % 3 <> 1 then 'login_required' else '' end guards from supplier""")

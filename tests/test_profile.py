@@ -254,3 +254,17 @@ def test_mapping_report(spark):
     raw = spark.createDataFrame([("checkov", "CKV_DOCKER_3"), ("checkov", "CKV_NEW"), ("semgrep", "x.sql-injection"), ("semgrep", "x.sql-injection"), ("semgrep", "odd")], "tool string, rule_id string")
     got = {r.origin: (r.n, r.rule_ids) for r in detect.mapping_report(raw).collect()}
     assert got == {"exact": (1, []), "fallback": (1, []), "heuristic": (2, ["x.sql-injection"]), "unmapped": (1, ["odd"])}
+
+
+def test_graph_parses_sources_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    files = spark.createDataFrame([("app.py", "import os\ndef f(c):\n    os.system(c)\n")], "path string, text string").mapInArrow(counted, "path string, text string")
+    g = P.build_graph(python_code.scan_sources(files))
+    assert {(n.kind, n.name) for n in g.nodes.collect()} >= {("file", "app.py"), ("sink", "os.system")}
+    assert read.value == 1
