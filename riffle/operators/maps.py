@@ -12,7 +12,11 @@ def map_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], value: st
     """keys, kind (added, removed, changed), old and new; equal entries give no row."""
     b = before.select(*keys, F.col(value).alias("old"), F.lit(True).alias("__b"))
     a = after.select(*keys, F.col(value).alias("new"), F.lit(True).alias("__a"))
-    both = b.join(a, list(keys), "full")
+    return changes(b.join(a, list(keys), "full"), keys)
+
+
+def changes(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As map_diff, of one row for each key with old and new; __b and __a are null where there is no such side."""
     kind = F.when(F.col("__b").isNull(), "added").when(F.col("__a").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.select(*keys, kind.alias("kind"), "old", "new").where("kind is not null")
 

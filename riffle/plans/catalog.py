@@ -56,6 +56,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
 
 
+def dealt(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """df, made of a table's rows, dealt out by keys: a partition for each 2 MiB of the table's files, so that a task's rows don't grow with the table."""
+    n = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 21
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     return scan.lines_of(spread(t(spark, d, "documents").select("doc_id", "source", "text")), "text", "doc_id", "source")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riffle.functions import tables as T
 from riffle.functions import text as X
 from riffle.operators import change, evaluate, findings, metrics
-from riffle.plans.catalog import _LINES, query, t
+from riffle.plans.catalog import _LINES, dealt, query, t
 from riffle.sinks.cache import ledger_drift as drift
 from riffle.sources import deps, diff, reports
 
@@ -32,10 +32,10 @@ def diff_line_numbers(s: SparkSession, d: str) -> DataFrame:
     from o full join n on o.l_suppkey = n.l_suppkey and o.p = n.p where o.q is distinct from n.q""")
 def lockfile_deltas(s: SparkSession, d: str) -> DataFrame:
     """Each supplier's items as a lock file's diff, returned ones on the old side."""
-    sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
-    block = F.concat(sign, F.lit('name = "Pkg_'), (F.col("l_partkey") % 40).cast("string"), F.lit('"\n'), sign, F.lit('version = "'), F.col("l_quantity").cast("int").cast("string"), F.lit('"'))
-    rows = t(s, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int"), block.alias("b")))).alias("all"))
-    text = F.concat(F.lit("diff --git a/poetry.lock b/poetry.lock\n@@ -1 +1 @@\n"), F.array_join(F.transform("all", lambda x: x["b"]), "\n"))
+    items = t(s, d, "lineitem").where("l_returnflag <> 'A'").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("sign"))
+    rows = dealt(items, t(s, d, "lineitem"), "l_suppkey").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "q", "sign"))).alias("all"))
+    block = lambda x: F.concat(x["sign"], F.lit('name = "Pkg_'), (x["l_partkey"] % 40).cast("string"), F.lit('"\n'), x["sign"], F.lit('version = "'), x["q"].cast("string"), F.lit('"'))
+    text = F.concat(F.lit("diff --git a/poetry.lock b/poetry.lock\n@@ -1 +1 @@\n"), F.array_join(F.transform("all", block), "\n"))
     lines = diff.read_diffs(rows.select(F.col("l_suppkey").alias("run_id"), text.alias("text"))).lines
     return deps.dep_deltas(lines).select(F.col("run_id").alias("l_suppkey"), "name", "kind", "old", "new")
 

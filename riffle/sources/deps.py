@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from riffle.functions import tables as T
 from riffle.functions import text as X
-from riffle.operators.maps import map_diff
-from riffle.sources.diff import side
+from riffle.operators.maps import changes
 
 # Requirement lines, keys that are no packages, shapes of version values; so are the patterns of the formats below.
 REQUIREMENT = r"""^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:([=<>!~^]{1,2}=?)\s*([^\s;,#\]"']+))?"""
@@ -72,33 +71,46 @@ def block(line: Column) -> dict[str, tuple[Column, Column]]:
 def format_of(path: Column) -> dict[str, Column]:
     """ecosystem and format by file name; null for other files."""
     name = F.lower(X.base_name(path))
-    look = lambda i: T.lookup(name, {k: v[i] for k, v in T.DEPENDENCY_FILES.items()})
-    other = name.rlike(T.REQUIREMENTS)
-    return {"ecosystem": F.coalesce(look(0), F.when(other, "pypi")), "format": F.coalesce(look(1), F.when(other, "requirements"))}
+    look = lambda n, i: T.lookup(n, {k: v[i] for k, v in T.DEPENDENCY_FILES.items()})
+    kind = lambda n: F.struct(F.coalesce(look(n, 0), F.when(n.rlike(T.REQUIREMENTS), "pypi")).alias("ecosystem"), F.coalesce(look(n, 1), F.when(n.rlike(T.REQUIREMENTS), "requirements")).alias("format"))
+    one = F.get(F.transform(F.array(name), kind), F.lit(0))  # else the name is made anew for each comparison
+    return {"ecosystem": one["ecosystem"], "format": one["format"]}
 
 
 def side_versions(lines: DataFrame, key: str = "run_id") -> DataFrame:
-    """key, path, ecosystem, name, version of one side's lines: the first version of each package counts.
+    """key, path, ecosystem, name, old, new, __b and __a of the lines of a diff: the first version of each package on either side counts.
 
-    A block's name waits for the first version after it in the same hunk, and is used up by it.
+    A block's name waits for the first version after it on the same side of the same hunk, and is used up by it. __b and __a are
+    null where a side hasn't the package. Both sides are read in one pass, in the order that lines have.
     """
     found = lines.withColumns(format_of(F.col("path"))).where("format is not null")
     line = F.col("text")
-    seq = Window.partitionBy(key, "path", "hunk_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy(key).orderBy("seq")
+    up_to, before = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
     header = F.when(X.strip(line).rlike(r"^\["), F.lower(F.regexp_replace(X.strip(line), r"^[\[\]]+|[\[\]]+$", "")))
-    found = found.withColumn("__table", F.last(header, ignorenulls=True).over(seq))
     pick = lambda table: F.coalesce(*[F.when(F.col("format") == k, c) for k, c in table.items()])
     blocks = block(line)
-    found = found.withColumns({"__one": pick(single_line(line, F.col("__table"))), "__open": pick({k: v[0] for k, v in blocks.items()}), "__close": pick({k: v[1] for k, v in blocks.items()})})
-    found = found.withColumns({"__island": F.count("__open").over(seq), "__name": F.last("__open", ignorenulls=True).over(seq)})
-    nth = F.count("__close").over(Window.partitionBy(key, "path", "hunk_no", "__island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("__nth", nth)
-    closed = F.when(F.col("__close").isNotNull() & F.col("__open").isNull() & (F.col("__nth") == 1) & (F.col("__island") > 0), F.struct(F.col("__name").alias("name"), F.col("__close").alias("version")))
-    entries = found.withColumn("__e", F.coalesce("__one", closed)).where("__e is not null")
-    named = entries.select(key, "path", "ecosystem", X.normalized_package(F.col("__e.name"), F.col("ecosystem")).alias("name"), X.strip(F.col("__e.version")).alias("version"), "hunk_no", "seq")
-    return named.where("name <> ''").groupBy(key, "path", "ecosystem", "name").agg(F.min_by("version", F.struct("hunk_no", "seq")).alias("version"))
+    found = found.withColumns({"__header": header, "__open": pick({k: v[0] for k, v in blocks.items()}), "__close": pick({k: v[1] for k, v in blocks.items()})})
+    sides = {"old": F.col("tag") != "+", "new": F.col("tag") != "-"}
+    last = lambda on, c: F.last(F.when(on & F.col(c).isNotNull(), F.struct("file_no", "hunk_no", "seq", F.col(c).alias("is"))), ignorenulls=True).over(up_to)
+    waits = {f"__{c}_{k}": last(on, f"__{c}") for k, on in sides.items() for c in ("header", "open")}
+    used = {f"__used_{k}": F.max(F.when(on & F.col("__close").isNotNull(), F.col("seq"))).over(before) for k, on in sides.items()}
+    found = found.withColumns(waits | used)
+
+    def entry(k: str) -> Column:
+        here = lambda c: (F.col(f"{c}.file_no") == F.col("file_no")) & (F.col(f"{c}.hunk_no") == F.col("hunk_no"))
+        unused = F.coalesce(F.col(f"__used_{k}") < F.col(f"__open_{k}.seq"), F.lit(True))
+        closed = F.when(F.col("__close").isNotNull() & F.col("__open").isNull() & here(f"__open_{k}") & unused, F.struct(F.col(f"__open_{k}.is").alias("name"), F.col("__close").alias("version")))
+        table = F.when(here(f"__header_{k}"), F.col(f"__header_{k}.is"))
+        return F.when(sides[k], F.coalesce(pick(single_line(line, table)), closed))
+
+    entries = found.select(key, "path", "ecosystem", "hunk_no", "seq", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), entry(k).alias("e")) for k in sides))).alias("x")).where("x.e is not null")
+    named = entries.select(key, "path", "ecosystem", X.normalized_package(F.col("x.e.name"), F.col("ecosystem")).alias("name"), X.strip(F.col("x.e.version")).alias("version"), "x.side", F.struct("hunk_no", "seq").alias("__at")).where("name <> ''")
+    first = lambda k: F.min_by("version", F.when(F.col("side") == k, F.col("__at"))).alias(k)
+    there = lambda k: F.max(F.when(F.col("side") == k, True))
+    return named.groupBy(key, "path", "ecosystem", "name").agg(first("old"), first("new"), there("old").alias("__b"), there("new").alias("__a"))
 
 
 def dep_deltas(lines: DataFrame, key: str = "run_id") -> DataFrame:
     """key, path, ecosystem, name, kind (added, removed, changed), old, new of every dependency file in the diff."""
-    return map_diff(side_versions(side(lines, "old"), key), side_versions(side(lines, "new"), key), [key, "path", "ecosystem", "name"], "version")
+    return changes(side_versions(lines, key), [key, "path", "ecosystem", "name"])

@@ -34,18 +34,20 @@ def read_diffs(diffs: DataFrame, key: str = "run_id", text: str = "text") -> Dif
     a backslash are skipped; what is neither + nor - is context. The b/ side of a file's header names it, deletions
     included. After a malformed hunk header, what follows in its file is skipped unless another header comes at once.
     """
+    # what files and hunks reset is a difference from their header's running value, so that one sort by line serves every window
     every = diffs.select(F.col(key), F.posexplode(X.split_lines(F.col(text))).alias("at", "line"))
     line = F.col("line")
     every = every.withColumns({"is_file": F.startswith(line, F.lit("diff --git ")), "is_at": F.startswith(line, F.lit("@@"))})
-    up_to = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumn("file_no", F.count(F.when(F.col("is_file"), 1)).over(up_to)).where("file_no > 0")
-    in_file = Window.partitionBy(key, "file_no").orderBy("at")
-    so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    bad = F.col("is_at") & ~line.rlike(HUNK)
-    broken = ~F.col("is_at") & F.coalesce(F.lag(bad).over(in_file), F.lit(False))
-    every = every.withColumn("broken", broken).withColumns({"hunk_no": F.count(F.when(F.col("is_at") & line.rlike(HUNK), 1)).over(so_far), "seen_at": F.count(F.when(F.col("is_at"), 1)).over(so_far), "dead": F.max("broken").over(so_far)})
-
-    head = every.where("seen_at = 0")
+    tag = F.when(F.substring(line, 1, 1).isin("+", "-"), F.substring(line, 1, 1)).otherwise(" ")
+    every = every.withColumns({"good": F.col("is_at") & line.rlike(HUNK), "tag": F.when(~F.col("is_at") & ~F.startswith(line, F.lit("\\")), tag)})
+    in_order = Window.partitionBy(key).orderBy("at")
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda when: F.count(F.when(when, 1)).over(up_to)
+    latest = lambda when: F.max(F.when(when, F.col("at"))).over(up_to)
+    every = every.withColumns({"file_no": so_far(F.col("is_file")), "file_at": latest(F.col("is_file")), "hunks": so_far(F.col("good")), "hunk_at": latest(F.col("is_at")), "o": so_far(F.col("tag") != "+"), "n": so_far(F.col("tag") != "-"), "after_bad": F.lag(F.col("is_at") & ~F.col("good")).over(in_order)}).where("file_no > 0")
+    in_head = F.coalesce(F.col("hunk_at") < F.col("file_at"), F.lit(True))
+
+    head = every.where(in_head)
     change = F.when(F.startswith(line, F.lit("new file mode")), "added").when(F.startswith(line, F.lit("deleted file mode")), "deleted").when(line.rlike("^rename (from|to) "), "renamed")
     last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("at")))
     after = lambda prefix: F.when(F.startswith(line, F.lit(prefix)), F.substring(line, len(prefix) + 1, 1 << 30))
@@ -70,21 +72,23 @@ def read_diffs(diffs: DataFrame, key: str = "run_id", text: str = "text") -> Dif
         "binary",
     )
     # a line has its file's path and its hunk's starts from the running windows: a join could broadcast the lines
-    said = lambda value: F.last(F.when(F.col("seen_at") == 0, value), ignorenulls=True).over(so_far)
-    known = every.withColumns({"a": said(F.when(F.col("is_file"), named(1))), "b": said(F.when(F.col("is_file"), named(2))), "minus": said(_stripped(after("--- "))), "plus": said(_stripped(after("+++ ")))})
-    alive = known.where("hunk_no > 0 and not dead").withColumn("path", path)
     number = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(line, HUNK, i), F.lit("")).cast("int"), F.lit(default))
-    hunks = alive.where("is_at").where(line.rlike(HUNK)).select(key, "file_no", "hunk_no", number(1, 0).alias("old_start"), number(2, 1).alias("old_len"), number(3, 0).alias("new_start"), number(4, 1).alias("new_len"), X.strip(F.regexp_extract(line, HUNK, 5)).alias("header"), "path")
-    tag = F.when(F.substring(line, 1, 1).isin("+", "-"), F.substring(line, 1, 1)).otherwise(" ")
-    body = alive.withColumn("tag", F.when(~F.col("is_at") & ~F.startswith(line, F.lit("\\")), tag))
-    in_hunk = Window.partitionBy(key, "file_no", "hunk_no").orderBy("at")
-    before, first = in_hunk.rowsBetween(Window.unboundedPreceding, -1), in_hunk.rowsBetween(Window.unboundedPreceding, 0)
-    start = lambda i: F.first(F.when(F.col("is_at") & line.rlike(HUNK), number(i, 0))).over(first)
-    counted = body.withColumns({"o": F.count(F.when(F.col("tag") != "+", 1)).over(before), "n": F.count(F.when(F.col("tag") != "-", 1)).over(before), "old_start": start(1), "new_start": start(3)})
-    lines = counted.where("tag is not null").select(
+    last_of = lambda when, *values: F.last(F.when(when, F.struct(*values)), ignorenulls=True).over(up_to)
+    said = lambda value: last_of(in_head & value.isNotNull(), F.col("file_no"), value.alias("is"))
+    broken = ~F.col("is_at") & ~F.col("is_file") & F.col("after_bad")
+    known = every.withColumns({
+        "file": last_of(F.col("is_file"), named(1).alias("a"), named(2).alias("b"), "hunks"), "minus": said(_stripped(after("--- "))), "plus": said(_stripped(after("+++ "))), "broken_at": latest(broken),
+        "hunk": last_of(F.col("good"), "o", "n", number(1, 0).alias("old_start"), number(3, 0).alias("new_start")),
+    })
+    own = lambda c: F.when(F.col(f"{c}.file_no") == F.col("file_no"), F.col(f"{c}.is"))
+    alive = known.withColumns({"hunk_no": F.col("hunks") - F.col("file.hunks"), "dead": F.coalesce(F.col("broken_at") > F.col("file_at"), F.lit(False)), "a": F.col("file.a"), "b": F.col("file.b"), "minus": own("minus"), "plus": own("plus")})
+    alive = alive.where("hunk_no > 0 and not dead").withColumn("path", path)
+    hunks = alive.where("good").select(key, "file_no", "hunk_no", number(1, 0).alias("old_start"), number(2, 1).alias("old_len"), number(3, 0).alias("new_start"), number(4, 1).alias("new_len"), X.strip(F.regexp_extract(line, HUNK, 5)).alias("header"), "path")
+    nth = lambda side: F.col(f"hunk.{side}_start") + F.col(side[0]) - F.col(f"hunk.{side[0]}") - 1
+    lines = alive.where("tag is not null").select(
         key, "path", "file_no", "hunk_no", F.col("at").alias("seq"), "tag",
-        F.when(F.col("tag") != "+", F.col("old_start") + F.col("o")).cast("int").alias("old_ln"),
-        F.when(F.col("tag") != "-", F.col("new_start") + F.col("n")).cast("int").alias("new_ln"),
+        F.when(F.col("tag") != "+", nth("old")).cast("int").alias("old_ln"),
+        F.when(F.col("tag") != "-", nth("new")).cast("int").alias("new_ln"),
         F.substring(line, 2, 1 << 30).alias("text"),
     )
     return Diff(files, hunks, lines)

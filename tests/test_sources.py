@@ -151,3 +151,28 @@ def test_lines_of_a_diff_are_numbered_without_a_join(spark):
     two = "diff --git a/x b/x\nrename from x\n@@ -5 +7 @@\n-a\n\\ no newline\n+b\n@@ -20 +30 @@\n c\ndiff --git a/q b/q\n@@ -1 +1 @@\n+e\n"
     got = [(r.path, r.hunk_no, r.tag, r.old_ln, r.new_ln, r.text) for r in diff.read_diffs(spark.createDataFrame([("r", two)], "run_id string, text string")).lines.orderBy("seq").collect()]
     assert got == [("x", 1, "-", 5, None, "a"), ("x", 1, "+", None, 7, "b"), ("x", 2, " ", 20, 30, "c"), ("q", 1, "+", None, 1, "e")]
+
+
+def test_a_diff_is_read_with_one_sort_and_both_sides_in_one_pass(spark):
+    d = parsed(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(d.lines).count(" Sort [") == 1
+    deltas = plan(deps.dep_deltas(d.lines))
+    assert "Join" not in deltas and deltas.count(" Sort [") <= 2 and deltas.count("Generate posexplode") == 1
+
+
+def test_a_block_waits_on_its_side_of_its_hunk_only(spark):
+    body = ['-name = "a"', '+name = "b"', ' version = "1"', '+version = "2"', ' name = "c"', "@@ -9 +9 @@", '+version = "3"', ' name = "d"', '-version = "4"', '+version = "5"']
+    text = "\n".join(["diff --git a/uv.lock b/uv.lock", "@@ -1 +1 @@", *body, "diff --git a/x/uv.lock b/x/uv.lock", "@@ -1 +1 @@", '+version = "6"'])
+    got = {(r.path, r["name"], r.kind, r.old, r.new) for r in deps.dep_deltas(diff.read_diffs(spark.createDataFrame([("r", text)], "run_id string, text string")).lines).collect()}
+    assert got == {("uv.lock", "a", "removed", "1", None), ("uv.lock", "b", "added", None, "1"), ("uv.lock", "d", "changed", "4", "5")}
+
+
+def test_partitions_follow_a_table_s_size(spark, tmp_path):
+    from riffle.plans import catalog
+
+    spark.range(1 << 20).selectExpr("id", "hash(id) a", "xxhash64(id) b").write.parquet(str(tmp_path / "t.parquet"))
+    table = catalog.t(spark, str(tmp_path), "t")
+    size = sum(p.stat().st_size for p in (tmp_path / "t.parquet").glob("*.parquet"))
+    parts = catalog.dealt(table.select("id"), table, "id").rdd.getNumPartitions()
+    assert size >> 21 == parts > 4
