@@ -85,6 +85,22 @@ def test_dedup_merges(spark):
     assert (g.detector, g.also_detected_by) == ("tie1", ["tie2"])
 
 
+def test_dedup_reduces_places_before_the_shuffle(spark):
+    """One key with many findings: a place for each is kept before they meet, and what is kept is linear in them."""
+    n = 6000
+    rows = [finding(i, "f", 2, 5, det=f"d{i % 3}", evidence=[("a.py", str(i // 2), "s", str(i)), ("all", None, "s", str(i))]) for i in range(n)] + [finding(n, "f", 4, 5, det="top", evidence=()), finding(n + 1, "f", 2, 5, det="top", entry="e", evidence=[("a.py", "0", "s", "late")])]
+    out = fi.dedup(spark.createDataFrame(rows, FINDING))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(" in plan and plan.index("partial_min(") < plan.index("posexplode(evidence") and plan.count("partial_collect_list(") == 1
+    assert "__file" in plan.split("partial_collect_list(", 1)[1].split("Exchange", 1)[0]
+    (r,) = out.collect()
+    assert (r.detector, r.ordinal, r.severity_rank, r.entry, r.merged, r.also_detected_by, r.data_flow) == ("top", n, 4, "e", n + 1, ["d0", "d1", "d2"], [])
+    want = {}
+    for e in (e for i in range(n) for e in rows[i][12]):
+        want.setdefault(e[:2], e)
+    assert [tuple(e) for e in r.evidence] == list(want.values())
+
+
 def test_scope_precedence(spark):
     rows = [finding(i, fp, file=f, start=s, end=s) for i, (fp, f, s) in enumerate([("old", "a.py", 1), ("new", "a.py", 99), ("n2", "b.py", 5), ("n3", "b.py", 50), ("n4", "c.py", 1), ("n5", "zz.py", 1), ("old", "pr:body", 0)])]
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
